@@ -1,8 +1,8 @@
 """Line dedup with compressed per-document keep bitmaps, in DataFrame functions only.
 
 Each line becomes a hash of its key (stripped, A-Z lower-cased) with its document and position; texts are not shuffled
-for that. The hashes are range-partitioned by (hash, salt) and sorted within partitions by document and position, so that
-in one stream over a partition the first occurrence in each document, and in each salted part of a hash, stands first.
+for that. The hashes are range-partitioned, by their first bytes and a salt, and sorted within partitions by document and
+position, so that in one stream over a partition the first occurrence in each document, and in each salted part of a hash, stands first.
 The salt splits a line that is in very many documents. Parts then meet as one row each: documents per key, and the very
 first occurrence. What comes back for a document is its keep bitmap as runs of kept lines; texts are cut by those runs.
 
@@ -16,10 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, ascii_lower, row_key, text_or_empty
+from tidemark.shared import stored
 
 
 def line_key(line: F.Column) -> F.Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+    # The plain functions are many times faster than btrim and translate, which the few lines that need them get.
+    edged = F.lit(False)
+    for c in SPACES:
+        edged = edged | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    line = F.when(edged, F.btrim(line, F.lit(SPACES))).otherwise(line)
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(ascii_lower(line))
 
 
 def drop_positions(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, keep_first: bool, salts: int) -> DataFrame:
@@ -27,13 +33,14 @@ def drop_positions(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     lines = docs.select(row_key(id_col, text_col).alias("dk"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("pos", "line"))
     keyed = lines.select("dk", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     keyed = keyed.select("dk", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("h"), F.pmod(F.xxhash64("dk"), F.lit(salts)).alias("salt"))
-    placed = keyed.repartitionByRange("h", "salt")
-    stream = Window.partitionBy("h", "salt").orderBy("dk", "pos")
+    # md5 is uniform, so ranges of equal width need no sampling: a range is the hash's first two bytes.
+    placed = keyed.withColumn("range", F.substring("h", 1, 2)).repartition("range", "salt")
+    stream = Window.partitionBy("range", "h", "salt").orderBy("dk", "pos")
     before = F.lag("dk").over(stream)
-    marked = placed.select("h", "salt", "dk", "pos", F.when(before.eqNullSafe(F.col("dk")), 0).otherwise(1).alias("new_doc"))
+    marked = stored(placed.select("h", "dk", "pos", F.when(before.eqNullSafe(F.col("dk")), 0).otherwise(1).alias("new_doc")), "lines")
     keys = marked.groupBy("h").agg(F.sum("new_doc").alias("n_docs"), F.min(F.struct("dk", "pos")).alias("first")).where(F.col("n_docs") >= min_docs)
     keys = keys.select(F.col("h").alias("kh"), "first")
-    hit = keyed.join(keys, keyed["h"] == keys["kh"])
+    hit = marked.join(keys, marked["h"] == keys["kh"])
     if keep_first:
         hit = hit.where(~((F.col("first.dk") == F.col("dk")) & (F.col("first.pos") == F.col("pos"))))
     return hit.groupBy("dk").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
