@@ -97,7 +97,7 @@ def grams(w: Words, k: int) -> np.ndarray:
     step = np.uint64(0xD6E8FEB86659FD93)
     for j in range(k):
         out *= step
-        out[: len(out) - j] += w.hash[j:]
+        out[: max(0, len(out) - j)] += w.hash[j:]
     return mix(out)
 
 
