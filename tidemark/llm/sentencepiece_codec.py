@@ -33,7 +33,7 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _END, _OTHER = 0, 1
 #: Entries of a worker's table of chunks, and characters of a chunk that it keeps.
-TABLE_ENTRIES, CHUNK_CHARS = 600_000, 48
+TABLE_ENTRIES, CHUNK_CHARS = 800_000, 48
 
 
 class Model:
@@ -69,17 +69,37 @@ class Model:
         self.high = keys.view(f"U{width}").ravel()
         self.number = np.array([self.id[p] for p in self.texts], np.int64)
         self.follows: dict[int, bool] = {}
+        self.stories: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Merges by rank, leftmost first, one pair at a time; for two pieces only."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == np.inf:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+    def story(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How a piece comes about: the rank of each of its merges in turn (then infinity), and its first and last parts
+        before each. Merges go by rank, leftmost first."""
+        if piece not in self.stories:
+            parts, ranks, firsts, lasts = list(piece), [], [piece[0]], [piece[-1]]
+            while len(parts) > 1:
+                rank, i = min((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                ranks.append(rank)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            self.stories[piece] = [*ranks, np.inf], firsts, lasts
+        return self.stories[piece]
+
+    def stay_apart(self, one: str, two: str) -> bool:
+        """Whether merging both texts together never joins across their border."""
+        (left, _, lasts), (right, firsts, _) = self.story(one), self.story(two)
+        i = j = 0
+        while True:
+            across = self.rank.get(lasts[i] + firsts[j], np.inf)
+            if across < left[i] and across <= right[j]:
+                return False
+            if left[i] == right[j] == np.inf:
+                return True
+            if left[i] <= right[j]:
+                i += 1
+            else:
+                j += 1
 
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a, for each a * 2^32 + b; an unknown character goes with everything."""
@@ -90,8 +110,7 @@ class Model:
                 if len(self.follows) > 2_000_000:
                     self.follows.clear()
                 a, b = x >> 32, x & 0xFFFFFFFF
-                one, two = self.piece[a], self.piece[b]
-                self.follows[x] = self.merge(one + two) == [one, two]
+                self.follows[x] = self.stay_apart(self.piece[a], self.piece[b])
             out[i] = self.follows[x]
         return out[back]
 
@@ -144,20 +163,26 @@ class Model:
             ok[ask] = self.may_follow((before[ask] << 32) | p[ask])
             ok |= (before >= 0) & ((before == self.unknown) | (p == self.unknown))
             last[e[ok]], came[e[ok]] = p[ok], s[ok]
-        out = []
-        for i in range(len(chunks)):
-            at, low_end, ids = int(first[i] + size[i]), int(first[i]), []
-            while at > low_end:
-                piece = int(last[at])
-                if piece < 0:
-                    raise AssertionError("no piece ends here")
-                back = int(came[at])
-                if piece == self.unknown and self.has_bytes:
-                    ids.extend(self.bytes[x] for x in reversed(chunks[i][back - low_end].encode("utf-8", "surrogatepass")))
-                else:
-                    ids.append(piece)
-                at = back
-            out.append(np.array(ids[::-1], "<u4"))
+        # Back from the ends, all chunks in step.
+        number_of, pieces, at, open_ = [], [], first + size, np.arange(len(chunks))
+        while len(open_):
+            piece = last[at]
+            if (piece < 0).any():
+                raise AssertionError("no piece ends here")
+            number_of.append(open_)
+            pieces.append(piece)
+            at = came[at]
+            go = at > first[open_]
+            at, open_ = at[go], open_[go]
+        which, ids = np.concatenate(number_of)[::-1], np.concatenate(pieces)[::-1]
+        by = np.argsort(which, kind="stable")
+        ids = ids[by].astype("<u4")
+        ends = np.cumsum(np.bincount(which, minlength=len(chunks)))
+        out = np.split(ids, ends[:-1])
+        if self.has_bytes:
+            for i in np.unique(which[by][ids == self.unknown]).tolist():  # the bytes of each unknown character, in order
+                strange = iter([c for c in chunks[i] if ord(c) >= len(self.code) or self.code[ord(c)] == _OTHER])
+                out[i] = np.array([x for p in out[i].tolist() for x in ([self.bytes[y] for y in next(strange).encode("utf-8", "surrogatepass")] if p == self.unknown else [p])], "<u4")
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -169,7 +194,7 @@ class Model:
         fresh: dict[str, bytes] = {}
         block, chars = [], 0
         for c in [*new, None]:
-            if block and (c is None or chars + len(c) > 200_000):
+            if block and (c is None or chars + len(c) > 500_000):
                 fresh.update(zip(block, (ids.tobytes() for ids in self.match(block))))
                 block, chars = [], 0
             if c is not None:
@@ -220,7 +245,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            for part in slices(batch, "__text", 1_000_000):
+            for part in slices(batch, "__text", 4_000_000):
                 ids = m.encode(part.column("__text").to_pylist())
                 offsets = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))

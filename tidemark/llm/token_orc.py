@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
 _PIECES: dict[tuple[str, bool], dict[str, bytes]] = {}
 _LIBRARY: dict[str, object] = {}
+#: Bytes of each id: the tokens of a byte-level vocabulary have a character for each byte.
+_SIZES: dict[str, np.ndarray] = {}
 #: Entries of a worker's table of pieces, and characters of a piece that it keeps.
-TABLE_ENTRIES, PIECE_CHARS = 600_000, 48
+TABLE_ENTRIES, PIECE_CHARS = 1_000_000, 48
 
 
 def _pieces(text: str) -> list[str]:
@@ -45,39 +48,40 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     from tokenizers import Tokenizer
 
     if path not in _LIBRARY:
-        _LIBRARY[path] = Tokenizer.from_file(path)
+        _LIBRARY[path] = library = Tokenizer.from_file(path)
+        _SIZES[path] = np.array([len(library.id_to_token(i)) for i in range(library.get_vocab_size())], np.int64)
     tokenizer = _LIBRARY[path]
     split = [_pieces(t) for t in texts]
     heads = [s[0] for s in split]
     for s in split:
         del s[0]
 
-    def table(pieces: set[str], inner: bool) -> dict[str, bytes]:
+    def table(pieces: set[str], inner: bool) -> tuple[dict[str, bytes], list[str]]:
         known = _PIECES.setdefault((path, inner), {})
         if len(known) > TABLE_ENTRIES:
             known.clear()
         new = [p for p in pieces if p not in known]
-        out, lead = {}, " " if inner else ""
-        for a in range(0, len(new), 5000):
-            for p, e in zip(new[a : a + 5000], tokenizer.encode_batch_fast([lead + x for x in new[a : a + 5000]], add_special_tokens=False)):
-                out[p] = np.array(e.ids, "<u4").tobytes()
-        known.update((p, b) for p, b in out.items() if len(p) <= PIECE_CHARS)
-        long = {p: b for p, b in out.items() if len(p) > PIECE_CHARS}
-        return known if not long else _Both(known, long)
-
-    first, inner = table(set(heads), False), table(set().union(*split) if split else set(), True)
-    return [first[h] + b"".join(map(inner.__getitem__, s)) for h, s in zip(heads, split)]
-
-
-class _Both(dict):
-    """Two tables as one."""
-
-    def __init__(self, known: dict[str, bytes], more: dict[str, bytes]):
-        super().__init__(more)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+        plain = [p for p in new if inner and p and not p[0].isspace() and not p[-1].isspace()]
+        for a in range(0, len(plain), 2000):  # one text of many pieces, cut again by the bytes that each id stands for
+            some = plain[a : a + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(_SIZES[path][ids]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
+            raw, before = ids.tobytes(), 0
+            for p, end in zip(some, (ends * 4).tolist()):
+                known[p] = raw[before:end]
+                before = end
+        rest = [p for p in new if p not in known]
+        for p, e in zip(rest, tokenizer.encode_batch_fast([" " + p if inner else p for p in rest], add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
+        return known, [p for p in new if len(p) > PIECE_CHARS]
+
+    first, long_first = table(set(heads), False)
+    inner, long_inner = table(set().union(*split) if split else set(), True)
+    out = [first[h] + b"".join(map(inner.__getitem__, s)) for h, s in zip(heads, split)]
+    for known, long in ((first, long_first), (inner, long_inner)):
+        for p in long:
+            del known[p]
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, stripe_mb: int = 16) -> None:
