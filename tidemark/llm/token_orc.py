@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.md5(F.col("text").cast("binary")))
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_mb << 20), "compression": "zlib"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_mb << 20), "compression": "snappy"}
     placed.mapInArrow(encode, "doc_id long, ord long, ids array<int>").write.options(**options).orc(path)
 
 
