@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.shared import work_dir
+from tidemark.shared import stored, work_dir
 
 END_ID = 0
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -133,7 +133,8 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), batch.column("file"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "ord", "file", "n_tokens", "ids_crc32"])
 
-    rows = tokens.mapInArrow(digest, "doc_id long, ord long, file string, n_tokens long, ids_crc32 long")
+    # Read once: both the files' sums and the rows come from this table of numbers.
+    rows = stored(tokens.mapInArrow(digest, "doc_id long, ord long, file string, n_tokens long, ids_crc32 long"), "digests")
     # Spark numbers the part files by partition, so their names are in order of doc_id.
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     files = files.withColumn("base", F.coalesce(F.sum("file_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("file").alias("of"), "base")
