@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,32 +105,34 @@ class Model:
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a, for each a * 2^32 + b; an unknown character goes with everything."""
         different, back = np.unique(pairs, return_inverse=True)
-        out = np.empty(len(different), bool)
-        for i, x in enumerate(different.tolist()):
-            if x not in self.follows:
-                if len(self.follows) > 2_000_000:
-                    self.follows.clear()
-                a, b = x >> 32, x & 0xFFFFFFFF
-                self.follows[x] = self.stay_apart(self.piece[a], self.piece[b])
-            out[i] = self.follows[x]
-        return out[back]
+        told = different.tolist()
+        if len(self.follows) > 2_000_000:
+            self.follows.clear()
+        for x in set(told).difference(self.follows):
+            self.follows[x] = self.stay_apart(self.piece[x >> 32], self.piece[x & 0xFFFFFFFF])
+        return np.array([*map(self.follows.__getitem__, told)], bool)[back]
 
     def _suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """The suffix array of the codes, by prefix doubling up to the longest piece."""
-        n, step = len(codes), 1
-        rank = codes.copy()
-        order = np.argsort(rank, kind="stable")
+        """The suffix array of the codes, by prefix doubling up to the longest piece, from as many codes as a key holds."""
+        n, base, step = len(codes), int(self.code.max()) + 2, 1
+        key = codes.copy()
+        while step < self.longest and base ** (2 * step) < 1 << 62:
+            second = np.zeros(n, np.int64)
+            second[: max(0, n - step)] = key[step:]
+            key, step = key * base**step + second, step * 2
+        order = np.argsort(key)
         while step < self.longest:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
             second = np.zeros(n, np.int64)
             second[: max(0, n - step)] = rank[step:] + 1
-            key = rank * (max(n, len(self.code)) + 2) + second
-            order = np.argsort(key, kind="stable")
-            rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
+            key = rank * (n + 2) + second
+            order = np.argsort(key)
             step *= 2
         return order
 
-    def match(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of each chunk."""
+    def match(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, as little-endian 32-bit integers."""
         joined = np.frombuffer("\0".join(chunks).encode("utf-32-le") + b"\0\0\0\0", np.uint32).astype(np.int64)
         size = np.array([len(c) for c in chunks], np.int64)
         first = np.cumsum(size + 1) - size - 1
@@ -149,7 +152,7 @@ class Model:
 
         chunk = np.repeat(np.arange(len(chunks)), size + 1)
         step = end - first[chunk[start]]
-        by = np.lexsort((start, step))
+        by = np.argsort(step * n + start)
         start, end, number, step = start[by], end[by], number[by], step[by]
         last = np.full(n + 1, -1, np.int64)  # the last piece of the text up to here; -2 at the start of a chunk
         last[first] = -2
@@ -175,14 +178,14 @@ class Model:
             go = at > first[open_]
             at, open_ = at[go], open_[go]
         which, ids = np.concatenate(number_of)[::-1], np.concatenate(pieces)[::-1]
-        by = np.argsort(which, kind="stable")
+        by = np.argsort(which * len(which) + np.arange(len(which)))
         ids = ids[by].astype("<u4")
-        ends = np.cumsum(np.bincount(which, minlength=len(chunks)))
-        out = np.split(ids, ends[:-1])
+        raw, ends = ids.tobytes(), (4 * np.cumsum(np.bincount(which, minlength=len(chunks)))).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends)]
         if self.has_bytes:
             for i in np.unique(which[by][ids == self.unknown]).tolist():  # the bytes of each unknown character, in order
                 strange = iter([c for c in chunks[i] if ord(c) >= len(self.code) or self.code[ord(c)] == _OTHER])
-                out[i] = np.array([x for p in out[i].tolist() for x in ([self.bytes[y] for y in next(strange).encode("utf-8", "surrogatepass")] if p == self.unknown else [p])], "<u4")
+                out[i] = np.array([x for p in np.frombuffer(out[i], "<u4").tolist() for x in ([self.bytes[y] for y in next(strange).encode("utf-8", "surrogatepass")] if p == self.unknown else [p])], "<u4").tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -190,12 +193,12 @@ class Model:
         split = [_CHUNK.findall(self.library.normalize(t)) if t else [] for t in texts]
         if len(self.known) > TABLE_ENTRIES:
             self.known.clear()
-        new = sorted({c for s in split for c in s if c not in self.known})
+        new = set(chain.from_iterable(split)).difference(self.known)
         fresh: dict[str, bytes] = {}
         block, chars = [], 0
         for c in [*new, None]:
-            if block and (c is None or chars + len(c) > 500_000):
-                fresh.update(zip(block, (ids.tobytes() for ids in self.match(block))))
+            if block and (c is None or chars + len(c) > 1_000_000):
+                fresh.update(zip(block, self.match(block)))
                 block, chars = [], 0
             if c is not None:
                 block.append(c)
