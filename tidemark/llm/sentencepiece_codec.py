@@ -33,8 +33,9 @@ from tidemark.llm.kernels import slices
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _END, _OTHER = 0, 1
-#: Entries of a worker's table of chunks, and characters of a chunk that it keeps.
-TABLE_ENTRIES, CHUNK_CHARS = 800_000, 48
+#: Entries of each of a worker's two tables of chunks, and characters of a chunk that they keep. When the newer is full it
+#: becomes the older, from which what is met again moves up.
+TABLE_ENTRIES, CHUNK_CHARS = 250_000, 48
 
 
 class Model:
@@ -72,6 +73,7 @@ class Model:
         self.follows: dict[int, bool] = {}
         self.stories: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def story(self, piece: str) -> tuple[list[float], list[str], list[str]]:
         """How a piece comes about: the rank of each of its merges in turn (then infinity), and its first and last parts
@@ -106,7 +108,7 @@ class Model:
         """Whether piece b may follow piece a, for each a * 2^32 + b; an unknown character goes with everything."""
         different, back = np.unique(pairs, return_inverse=True)
         told = different.tolist()
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 600_000:
             self.follows.clear()
         for x in set(told).difference(self.follows):
             self.follows[x] = self.stay_apart(self.piece[x >> 32], self.piece[x & 0xFFFFFFFF])
@@ -143,6 +145,7 @@ class Model:
         padded = np.append(codes, np.zeros(self.longest, np.int64)).astype(np.uint32)
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[:n][order]).view(f"U{self.longest}").ravel()
         low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        del keys, padded
         times = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(times)), times)
         place = order[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
@@ -192,12 +195,14 @@ class Model:
         """The ids of each text as little-endian 32-bit integers."""
         split = [_CHUNK.findall(self.library.normalize(t)) if t else [] for t in texts]
         if len(self.known) > TABLE_ENTRIES:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = set(chain.from_iterable(split)).difference(self.known)
+        self.known.update((c, self.older[c]) for c in new.intersection(self.older))
+        new.difference_update(self.older)
         fresh: dict[str, bytes] = {}
         block, chars = [], 0
         for c in [*new, None]:
-            if block and (c is None or chars + len(c) > 1_000_000):
+            if block and (c is None or chars + len(c) > 400_000):
                 fresh.update(zip(block, self.match(block)))
                 block, chars = [], 0
             if c is not None:
@@ -248,7 +253,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            for part in slices(batch, "__text", 4_000_000):
+            for part in slices(batch, "__text"):
                 ids = m.encode(part.column("__text").to_pylist())
                 offsets = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
