@@ -21,7 +21,7 @@ from tidemark.llm.media import decode_png, encode_png, media_columns, read_archi
 from tidemark.llm.minhash import idf_table, near_duplicates, similarity, weighted_shingles
 from tidemark.llm.mix import mix_sources, sainte_lague, targets
 from tidemark.llm.quality_rules import quality_rules
-from tidemark.llm.sentencepiece_codec import decode_documents, encode_documents, load
+from tidemark.llm.sentencepiece_codec import decode_documents, encode_documents, load, round_trips
 from tidemark.llm.suffix_dedup import repeated_passages
 from tidemark.llm.token_orc import read_tokens, tokens_of, write_tokens
 
@@ -292,7 +292,11 @@ def test_sentencepiece(spark):
     rows = by_id(decode_documents(encode_documents(docs, path), path))
     for i, t in enumerate(texts):
         assert rows[i]["ids"] == library.encode(t or "") and rows[i]["decoded"] == library.decode(library.encode(t or ""))
-    assert encode_documents(docs.limit(0), path).count() == 0
+    again = by_id(round_trips(docs, path))
+    for i, t in enumerate(texts):
+        ids, decoded = rows[i]["ids"], rows[i]["decoded"]
+        assert tuple(again[i]) == (i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(decoded), hashlib.md5(decoded.encode()).hexdigest(), decoded == (t or ""))
+    assert encode_documents(docs.limit(0), path).count() == 0 and round_trips(docs.limit(0), path).count() == 0
 
 
 def test_media(spark, tmp_path):

@@ -15,7 +15,7 @@ from tidemark.llm.media import media_columns
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mix import mix_sources
 from tidemark.llm.quality_rules import quality_rules
-from tidemark.llm.sentencepiece_codec import decode_documents, encode_documents, ids_crc32
+from tidemark.llm.sentencepiece_codec import round_trips
 from tidemark.llm.suffix_dedup import repeated_passages
 from tidemark.llm.token_orc import tokens_of
 
@@ -63,10 +63,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer("piece_bpe_32k.model")
-    rows = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), model)
-    rows = decode_documents(rows, model).select("doc_id", "ids", F.length("decoded").cast("long").alias("n_chars"), F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    return ids_crc32(rows)
+    return round_trips(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

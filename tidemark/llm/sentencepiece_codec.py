@@ -18,6 +18,7 @@ library; repeated rows and null ids give a row each; other columns are kept; emp
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -54,6 +55,7 @@ class Model:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(i != self.unknown for i in self.bytes)
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.has_bytes else {}
+        self.is_byte = np.isin(np.arange(n), list(self.byte_of))
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of this model cross chunks")
         letters = sorted({c for p in self.id for c in p})
@@ -216,7 +218,7 @@ class Model:
         """The text of the ids, as the library gives it."""
         if not len(ids):
             return ""
-        if not self.byte_of or not np.isin(ids, self.bytes).any():
+        if not self.is_byte[ids].any():
             text = "".join(map(self.piece.__getitem__, ids.tolist()))
         else:
             parts, raw = [], bytearray()
@@ -282,17 +284,22 @@ def decode_documents(rows: DataFrame, model: str, ids_col: str = "ids", text_col
     return rows.mapInArrow(run, schema)
 
 
-def ids_crc32(rows: DataFrame, ids_col: str = "ids", crc_col: str = "ids_crc32") -> DataFrame:
-    """rows with the crc32 of their ids as little-endian 32-bit integers, in place of the ids."""
-    names = [c for c in rows.columns if c != ids_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != ids_col), "n_ids long", f"`{crc_col}` long"])
+def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text encoded and decoded again in one pass: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit
+    integers), n_chars and decoded_md5 of the decoded text, and round_trip (whether it is the text itself)."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names = ["doc_id", "n_ids", "ids_crc32", "n_chars", "decoded_md5", "round_trip"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model)
         for batch in batches:
-            lists = batch.column(ids_col)
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            at = at - at[0]
-            crc = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=[*names, "n_ids", crc_col])
-
-    return rows.mapInArrow(run, schema)
+            for part in slices(batch, "text"):
+                found: list[tuple] = []
+                texts = part.column("text").to_pylist()
+                for text, ids in zip(texts, m.encode(texts)):
+                    decoded = m.decode(np.frombuffer(ids, "<u4"))
+                    found.append((len(ids) // 4, zlib.crc32(ids), len(decoded), hashlib.md5(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == text))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*found), types))], names=names)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_ids long, ids_crc32 long, n_chars long, decoded_md5 string, round_trip boolean")
