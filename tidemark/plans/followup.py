@@ -127,7 +127,7 @@ TABLES = reports.TABLES | study.TABLES | {
 }
 
 query("holding_period", holding_period, "bars_held n ~mean_return", "holding_q")
-query("decay_state", decay_state, f"{' '.join(study.KEYS)} days decay_state", "decay_q")
+query("decay_state", decay_state, f"{' '.join(study.KEYS)} decay_state", "decay_q")
 query("provenance", provenance, f"{' '.join(study.KEYS)} concepts", "provenance_q")
 query("parameter_grid_guard", grid_guard, f"quarter {' '.join(study.KEYS)} place kept", "guard_q")
 query("knowledge_version", knowledge_version, "event_id version", "version_q")
