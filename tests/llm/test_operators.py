@@ -118,6 +118,33 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_within_one_large_bucket(spark):
+    """Pairs of copies among 2400 distinct texts that all share a long passage, and with it buckets."""
+    passage, texts = prose(1, 165).split(), []
+    for s in range(1200):
+        own = prose(5000 + s, 26).split()
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:10], *prose(90_000 + s, 16).split()])]
+    idf = idf_of(texts)
+    doc, g, weight = weighted_shingles(pa.array(texts), idf)
+    at = np.unique(g, return_inverse=True)[1]
+    order = np.lexsort((doc, at))
+    at, of, weight = at[order], doc[order], weight[order].astype(np.float64)
+    total = np.bincount(of, weight)
+    shared = np.zeros((len(texts), len(texts)))
+    for a, b in zip(*(lambda x: (x[:-1], x[1:]))(np.append(np.flatnonzero(np.append(True, np.diff(at) != 0)), len(at)))):
+        if b - a > 1:
+            shared[np.ix_(of[a:b], of[a:b])] += np.minimum.outer(weight[a:b], weight[a:b])
+    alike = shared / (total[:, None] + total - shared) >= 0.8
+    label = np.arange(len(texts))
+    while True:
+        least = np.where(alike, label, len(texts)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    assert 1000 < len(set(label.tolist())) < 1400
+    assert {i: r["class_id"] for i, r in by_id(near_duplicates(table(spark, texts))).items()} == dict(enumerate(label.tolist()))
+
+
 def idf_of(texts):
     from tidemark.llm.kernels import NOT_ALNUM, words
 

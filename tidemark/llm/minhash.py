@@ -11,7 +11,10 @@
    orders are by the keys of other bands, so that nodes stand next to those that they share more bands with: a bucket of
    texts that share little more than one passage falls apart into its classes. A second round verifies all those
    candidates whose ends the first round left apart.
-5. Connected components of verified links are the classes.
+5. The texts of buckets that still hold more than one component are joined on their rarest shingles, each with the texts
+   of other components. The join leaves out only pairs whose similarity is below the threshold by an exact bound, and
+   all others are verified: whatever pair of a bucket has the similarity is in one class.
+6. Connected components of verified links are the classes.
 
 Shuffled are signatures and ids for all documents, and the texts of candidates only. Hot buckets are joins that Spark can
 split, or aggregates with partial sums; nothing is gathered per bucket.
@@ -37,6 +40,7 @@ from tidemark.operators.graph import connected_components
 from tidemark.shared import stored
 
 BUCKETS, SHINGLE, DAMPING, DRAWS = 1 << 20, 5, 0.2, 1 << 16
+SLACK = 1 - 1e-5  # weights of the same shingle differ by rounding
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -135,6 +139,39 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.where(total > shared, shared / np.maximum(total - shared, 1e-300), 0.0)
 
 
+def shingle_counts(texts: DataFrame, idf) -> np.ndarray:
+    """Texts per bucket of shingle hashes. 2^20 numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found += np.bincount((weighted_shingles(part.column("text"), idf.value)[1] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["bucket", "n"])
+
+    rows = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(BUCKETS, np.int64)
+    table[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return table
+
+
+def prefixes(texts: pa.Array, idf: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, weight from it on, weight of the document) of each document's rarest shingles: without them too
+    little weight is left for a similarity of `threshold` with any text."""
+    doc, g, w = weighted_shingles(texts, idf)
+    order = np.lexsort((g, counts[(g % np.uint64(len(counts))).astype(np.int64)], doc))
+    doc, g, w = doc[order], g[order], w[order].astype(np.float64)
+    n = len(texts)
+    total = np.bincount(doc, w, n)
+    size = np.bincount(doc, minlength=n)
+    before = np.append(0.0, np.cumsum(w))
+    end = np.cumsum(size)
+    rest = before[end[doc]] - before[:-1]
+    keep = rest >= threshold * total[doc] * SLACK
+    return doc[keep], g[keep], rest[keep], total[doc[keep]]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 3, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, digest (of its text), class_id (least id of its class), class_size, kept (true for
     the one text that stands for the class: that of the least id)."""
@@ -196,6 +233,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = edges.union(links(rest))
             apart = connected_components(edges)
 
+        # In a bucket of two its only pair is tested. In others, pairs of different components may not be.
+        component = F.coalesce("component", "node").alias("component")
+        placed = banded.select("band", "key", "node").join(centres.where("n > 2").select("band", "key"), ["band", "key"]).join(apart, "node", "left").select("band", "key", "node", component)
+        placed = stored(placed, "placed")
+        mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
+        open_ = stored(placed.join(mixed, ["band", "key"]).select("node", "component").distinct(), "open")
+        if not open_.isEmpty():
+            loose = open_.join(found, "node")
+            rarity = spark.sparkContext.broadcast(shingle_counts(loose, idf))
+
+            def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part in slices(batch, "text"):
+                        doc, g, rest, total = prefixes(part.column("text"), idf.value, rarity.value, threshold)
+                        which = pa.array(doc)
+                        yield pa.RecordBatch.from_arrays([part.column("node").take(which), part.column("component").take(which), pa.array(g.view(np.int64)), pa.array(rest), pa.array(total)], names=["node", "component", "g", "rest", "total"])
+
+            heads_ = stored(loose.select("node", "component", "text").mapInArrow(head, "node binary, component binary, g long, rest double, total double"), "heads")
+            shared = heads_.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+            heads_ = stored(heads_.join(shared, "g"), "heads")
+            # The lighter text of a pair has to share still rarer shingles. Keys are a shingle and a component, never a pair within one.
+            need = threshold / (1 + threshold) * SLACK
+            light = heads_.where(F.col("rest") >= 2 * need * F.col("total"))
+            kinds = light.select("g", F.col("component").alias("c1")).distinct().join(heads_.select("g", F.col("component").alias("c2")).distinct(), "g").where("c1 <> c2")
+            left = light.select("g", F.col("component").alias("c1"), F.col("node").alias("n1"), F.col("rest").alias("r1"), F.col("total").alias("t1"))
+            right = heads_.select("g", F.col("component").alias("c2"), F.col("node").alias("n2"), F.col("rest").alias("r2"), F.col("total").alias("t2"))
+            fit = (F.struct("t1", "n1") < F.struct("t2", "n2")) & (F.least("r1", "r2") >= need * (F.col("t1") + F.col("t2")))
+            met = kinds.join(left, ["g", "c1"]).join(right, ["g", "c2"]).where(fit)
+            untested = met.select(F.greatest("n1", "n2").alias("node"), F.least("n1", "n2").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
+            more = links(stored(untested, "pairs"))
+            if not more.isEmpty():
+                edges = edges.union(more)
+                apart = connected_components(edges)
+
     if edges is None:
         classes = nodes.withColumn("root", F.col("node"))
     else:
