@@ -311,6 +311,25 @@ def test_repeated_passages(spark):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_cut_at_different_places(spark):
+    """Edited copies, and one passage of 74 words cut at all places, so that texts sorted next to each other share less."""
+    texts, passage = [], prose(70, 74).split()
+    for cut in range(25):
+        for end in range(50 + cut, 75):
+            texts.append(f"{prose(4000 + 100 * cut + end, 3)} {' '.join(passage[cut:end])} {prose(8000 + 100 * cut + end, 3)}")
+    texts += [edited(prose(s, 300), 100 * s + c, 0.02) for s in range(3) for c in range(25)]
+    texts += [f"{prose(61, 60)} {prose(62, 5)} {prose(61, 55)}"] + [prose(61, 60)] * 2
+    w = [t.split() for t in texts]
+    seen = {}
+    for i, x in enumerate(w):
+        for j in range(len(x) - 49):
+            seen.setdefault(tuple(x[j : j + 50]), set()).add(i)
+    found = by_id(repeated_passages(table(spark, texts)))
+    for i, x in enumerate(w):
+        want = {j + k for j in range(len(x) - 49) if len(seen[tuple(x[j : j + 50])]) > 1 for k in range(50)}
+        assert {k for s in found[i]["spans"] for k in range(s["start"], s["end"])} == want, i
+
+
 def test_sentencepiece(spark):
     path = q.tokenizer("piece_bpe_32k.model")
     library = load(path).library

@@ -10,11 +10,13 @@ documents: the match is extended to the right and to the left, and counts from `
 document are united.
 
 Before the shuffle each slice of a task settles what it can: a suffix whose whole carried text also stands in another
-document of the slice is a match already, and only one of each such group goes on. So a group of copies sends a few rows
-per task however large it is, and the sort is never fed a hot group.
+document of the slice is a match already, and only two of each such group go on, of different documents. So a group of
+copies sends a few rows per task however large it is, and the sort is never fed a hot group.
 
-A passage of min_words + window - 1 words or more is always found. A shorter one is found unless, among all the texts
-that share its k words, those sorted next to it share less on both sides.
+Neighbours settle passages of min_words + window - 1 words or more. For shorter ones, suffixes that share their k words
+but not all of their text are also grouped by the hash of each run of min_words words around the k-gram (at most `window`
+keys a suffix, of equal texts two documents only): a run that several documents have is a match. So every passage of
+min_words words or more is found.
 
 Words: runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined results: null or empty text has no
 words and no spans; repeated rows (same id and text) are one document; null ids get rows with a null id; ties need no
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, text_or_empty
 from tidemark.llm.kernels import NOT_ALNUM, Words, grams, mix, slices, sliding, whole, words
+from tidemark.shared import stored
 
 _MOST = np.iinfo(np.uint64).max
+_ODD = np.random.default_rng(13).integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minimisers(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +72,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(1)
 
 
+def _first_two(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each group the first row and the first row of another document."""
+    _, first, which = np.unique(group, return_index=True, return_inverse=True)
+    other = np.flatnonzero(doc != doc[first[which]])
+    return np.concatenate([first, other[np.unique(group[other], return_index=True)[1]]])
+
+
+def run_keys(h: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether the run lies in the document) of the runs of reach more words around each k-gram; column j has j
+    words before it."""
+    n, reach = before.shape
+    none = np.zeros((n, 1), np.uint64)
+    left, right = (np.concatenate([none, np.cumsum(x * odd[:reach], axis=1, dtype=np.uint64)], 1) for x, odd in ((before, _ODD[0]), (after, _ODD[1])))
+    step = np.arange(reach + 1)
+    inside = ((before != 0).sum(1)[:, None] >= step) & ((after != 0).sum(1)[:, None] >= reach - step)
+    return mix(mix(h)[:, None] + left + right[:, ::-1] + step.astype(np.uint64)), inside
+
+
 def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document, overlapping ones joined. Rows come in order of document and start."""
     if not len(doc):
@@ -90,6 +112,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, width).astype(np.uint16)
 
 
+FOUND = ["dk", "doc_id", "n_words", "start", "end", "keys"]
 SEED_SCHEMA = "dk binary, doc_id long, n_words long, h long, pos long, until long, before binary, after binary, settled boolean"
 
 
@@ -118,8 +141,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     other = np.zeros(len(size), bool)
                     np.logical_or.at(other, group, doc != first[group])
                     done = other[group] & full
-                    lead = np.zeros(len(at), bool)  # one suffix of each settled group goes on
-                    lead[np.unique(group, return_index=True)[1]] = True
+                    lead = np.zeros(len(at), bool)  # two suffixes of each settled group go on
+                    lead[_first_two(group, doc)] = True
                     start = at - w.first[doc] - (before != 0).sum(1)
                     end = at - w.first[doc] + k + (after != 0).sum(1)
                     spans = _united(doc[done], start[done], end[done])
@@ -138,7 +161,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last rows, of which the next batch may have neighbours
 
-        def spans(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+        def spans(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
             table = table.combine_chunks()
             n = table.num_rows
             h = table["h"].to_numpy()
@@ -162,29 +185,50 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             pos = table["pos"].to_numpy()
             hit = np.flatnonzero(ok)
             which = pa.array(hit)
-            out = pa.RecordBatch.from_arrays([table["dk"].combine_chunks().take(which), table["doc_id"].combine_chunks().take(which), table["n_words"].combine_chunks().take(which), pa.array(pos[hit] - left[hit]), pa.array(pos[hit] + k + right[hit])], names=["dk", "doc_id", "n_words", "start", "end"])
+            out = pa.RecordBatch.from_arrays([table["dk"].combine_chunks().take(which), table["doc_id"].combine_chunks().take(which), table["n_words"].combine_chunks().take(which), pa.array(pos[hit] - left[hit]), pa.array(pos[hit] + k + right[hit]), pa.nulls(len(hit), pa.list_(pa.int64()))], names=FOUND)
+            # Texts of several documents that share the k-gram but not all the rest
+            alike = np.append(False, (h[1:] == h[:-1]) & (before[1:] == before[:-1]).all(1) & (after[1:] == after[:-1]).all(1))
+            text = np.cumsum(~alike) - 1
+            some, of = np.unique(h, return_inverse=True)
+            most, least = np.zeros(len(some), np.int64), np.full(len(some), n)
+            np.maximum.at(most, of, text)
+            np.minimum.at(least, of, text)
+            several = np.zeros(len(some), bool)
+            np.logical_or.at(several, of[1:], (h[1:] == h[:-1]) & (dk[1:] != dk[:-1]))
+            loose = _first_two(text, dk)
+            loose = loose[several[of[loose]] & (most > least)[of[loose]]]
+            keys, inside = run_keys(h[loose].view(np.uint64), before[loose], after[loose])
+            at = pa.array(loose)
+            offsets = pa.array(np.arange(0, keys.size + 1, reach + 1, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel(), mask=~inside.ravel()))
+            runs = pa.RecordBatch.from_arrays([table["dk"].combine_chunks().take(at), table["doc_id"].combine_chunks().take(at), table["n_words"].combine_chunks().take(at), pa.array(pos[loose]), pa.array(pos[loose]), lists], names=FOUND)
             # The last run and the run before it may meet rows to come. Rows told twice only give the same spans again.
             keep = None if last else table.slice(int(starts[max(0, len(starts) - 2)]))
-            return out, keep
+            return [out, runs], keep
 
         for batch in batches:
             settled = batch.column("settled")
             done = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("dk", "doc_id", "n_words", "pos", "until")], names=["dk", "doc_id", "n_words", "start", "end"])
+            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("dk", "doc_id", "n_words", "pos", "until")] + [pa.nulls(done.num_rows, pa.list_(pa.int64()))], names=FOUND)
             rest = batch.filter(pa.compute.invert(settled))
             if rest.num_rows:
                 table = pa.Table.from_batches([rest] if held is None else [*held.to_batches(), rest])
                 out, held = spans(table, False)
-                yield out
+                yield from out
         if held is not None:
-            yield spans(held, True)[0]
+            yield from spans(held, True)[0]
 
     rows = docs.select(row_key(id_col, text_col).alias("dk"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     suffixes = rows.mapInArrow(seeds, SEED_SCHEMA)
     # Settled spans travel by document, suffixes by their first words.
     where = F.when(F.col("settled"), F.xxhash64("dk")).otherwise(F.col("h"))
     placed = suffixes.withColumn("where", where).repartition("where").sortWithinPartitions("settled", "h", "after", "before", "dk")
-    found = placed.drop("where").mapInArrow(compare, "dk binary, doc_id long, n_words long, start long, end long")
+    found = stored(placed.drop("where").mapInArrow(compare, "dk binary, doc_id long, n_words long, start long, end long, keys array<long>"), "found")
+    runs = found.where("keys is not null").select("dk", "doc_id", "n_words", "start", F.posexplode("keys").alias("back", "key")).where("key is not null")
+    repeated = runs.groupBy("key").agg(F.min(F.xxhash64("dk")).alias("low"), F.max(F.xxhash64("dk")).alias("high")).where("low <> high").select("key")
+    begin = F.col("start") - F.col("back")
+    more = runs.join(repeated, "key").select("dk", "doc_id", "n_words", begin.alias("start"), (begin + min_words).alias("end"))
+    found = found.where("keys is null").drop("keys").union(more)
 
     by = Window.partitionBy("dk").orderBy("start", "end")
     reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
