@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare licence words.
 
 The index holds, for every informative word of the licence templates, its postings (template, position) and its inverse
-template frequency. In each file the highest-IDF licence words are looked up; a posting at position p and a file word at
-position q vote for a template that starts at q - p. A start is verified by comparing the template with the file word by
-word, and by the template's mandatory key phrases, which have to stand whole within the matched region. Base phrases are
+template frequency. Of each file all places of licence words are looked up, for the templates whose mandatory key phrases
+stand in it; a posting at position p and a file word at position q vote for a template that starts at q - p. A start is
+verified by comparing the template with the file word by word, and by the key phrases, which have to stand whole within the
+matched region. Base phrases are
 templates whose every place counts: they are anchored at their rarest word and compared at all its places.
 
 Words are the runs of ASCII letters, digits and non-ASCII characters of the text with A-Z lower-cased, compared by a
@@ -78,7 +79,9 @@ class Index:
         self.n = np.array([len(x) for x in postings], np.int64)
         self.at = np.cumsum(self.n) - self.n
         self.template, self.place = (np.array([x[i] for row in postings for x in row], np.int64) for i in (0, 1))
-        self.anchors = [int(np.argmax([idf.get(h, math.inf) for h in hs.tolist()])) for hs, _ in self.phrases]
+        rarest = lambda hs: int(np.argmax([idf.get(h, math.inf) for h in hs.tolist()]))
+        self.anchors = [rarest(hs) for hs, _ in self.phrases]
+        self.key_anchors = [[rarest(hs) for hs in keys] for keys in self.keys]
 
 
 def find_phrase(w: Words, phrase: np.ndarray, anchor: int = 0) -> np.ndarray:
@@ -90,7 +93,7 @@ def find_phrase(w: Words, phrase: np.ndarray, anchor: int = 0) -> np.ndarray:
     return at[w.doc[at] == w.doc[at + len(phrase) - 1]]
 
 
-def _matches(w: Words, index: Index, rare_words: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matches(w: Words, index: Index, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, template, share of its words that fit) of the verified template starts."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if not len(w.hash) or not len(index.word):
@@ -100,16 +103,17 @@ def _matches(w: Words, index: Index, rare_words: int, least: float) -> tuple[np.
     if not len(at):
         return none
     v, doc = v[at], w.doc[at]
-    pairs = np.unique(np.stack([doc, v], 1), axis=0)  # the file's licence words; the rarest are looked up
-    order = np.lexsort((pairs[:, 1], -index.idf[pairs[:, 1]], pairs[:, 0]))
-    pairs = pairs[order]
-    rank = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
-    pairs = pairs[rank < rare_words]
-    m = len(index.word)
-    keep = np.isin(doc * m + v, pairs[:, 0] * m + pairs[:, 1])
+    stands = [[find_phrase(w, key, anchor) for key, anchor in zip(keys, anchors)] for keys, anchors in zip(index.keys, index.key_anchors)]
+    has = np.ones((w.n_docs, len(index.templates)), bool)  # the file has all key phrases of the template
+    for t, places in enumerate(stands):
+        for place in places:
+            has[:, t] &= np.bincount(w.doc[place], minlength=w.n_docs) > 0
+    keep = has.any(1)[doc]
     at, v, doc = at[keep], v[keep], doc[keep]
     each = np.repeat(np.arange(len(at)), index.n[v])  # the postings of each place
     post = index.at[v][each] + np.arange(len(each)) - np.repeat(np.cumsum(index.n[v]) - index.n[v], index.n[v])
+    keep = has[doc[each], index.template[post]]
+    each, post = each[keep], post[keep]
     starts = np.unique(np.stack([doc[each], index.template[post], at[each] - index.place[post]], 1), axis=0)
     found = []
     for t in np.unique(starts[:, 1]):
@@ -120,11 +124,10 @@ def _matches(w: Words, index: Index, rare_words: int, least: float) -> tuple[np.
             place = np.clip(place, 0, len(w.hash) - 1)
             share = (inside & (w.hash[place] == hs) & (w.doc[place] == block[:, 0, None])).mean(1)
             block, share = block[share >= least], share[share >= least]
-            for key in index.keys[t] if len(block) else ():
-                stands = find_phrase(w, key)
-                nxt = np.searchsorted(stands, block[:, 2])
-                ok = nxt < len(stands)
-                ok[ok] = stands[nxt[ok]] + len(key) <= block[ok, 2] + len(hs)
+            for key, places in zip(index.keys[t], stands[t]) if len(block) else ():
+                nxt = np.searchsorted(places, block[:, 2])
+                ok = nxt < len(places)
+                ok[ok] = places[nxt[ok]] + len(key) <= block[ok, 2] + len(hs)
                 block, share = block[ok], share[ok]
             found.append((block[:, 0], np.full(len(block), t), share))
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3)) if found else none
@@ -133,10 +136,10 @@ def _matches(w: Words, index: Index, rare_words: int, least: float) -> tuple[np.
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, rare_words: int = 12, least: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, least: float = 0.8) -> DataFrame:
     """One row per document: number of words, places of base phrases, labels and the best template score.
 
-    rare_words: licence words looked up per file, by IDF. least: share of a template's words that have to fit.
+    least: share of a template's words that have to fit.
     """
     index = Index(templates, phrases)
 
@@ -158,7 +161,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 labels = {d: set(x) for d, x in base.items()}
                 score = np.zeros(n)
                 score[list(base)] = 1.0
-                for d, t, s in zip(*(x.tolist() for x in _matches(w, index, rare_words, least))):
+                for d, t, s in zip(*(x.tolist() for x in _matches(w, index, least))):
                     labels.setdefault(d, set()).add(index.labels[t])
                     score[d] = max(score[d], s)
                 none = count == 0
