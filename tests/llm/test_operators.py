@@ -76,6 +76,17 @@ def test_license_notices_in_long_texts(spark):
     assert [found[i]["score"] for i in range(len(texts))] == [1.0] * (len(texts) - 1) + [0.0]
 
 
+def test_published_license_notices(spark):
+    """Notices as they are published, whole, with one word put in, and with one left out."""
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    cases = [(mit, "mit"), (mit.replace("sublicense,", "sublicense, lend,"), "mit"), (mit.replace("obtaining a copy", "obtaining copy"), "mit"), (mpl, "mpl"), (mpl.replace("was not", "was really not"), "mpl"), (isc, "isc"), (isc.replace("software for", "software here for"), "isc")]
+    cases += [("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY 4.0.", "cc-by"), ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc")]
+    found = by_id(scan_licenses(table(spark, [t for t, _ in cases])))
+    assert [found[i]["labels"] for i in range(len(cases))] == [label for _, label in cases]
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:

@@ -3,8 +3,8 @@
 The index holds, for every informative word of the licence templates, its postings (template, position) and its inverse
 template frequency. Of each file all places of licence words are looked up, for the templates whose mandatory key phrases
 stand in it; a posting at position p and a file word at position q vote for a template that starts at q - p. A start is
-verified by comparing the template with the file word by word, and by the key phrases, which have to stand whole within the
-matched region. Base phrases are
+verified by comparing the template with the file word by word, each within SHIFT places of its own, and by the key phrases,
+which have to stand whole within the matched region. Base phrases are
 templates whose every place counts: they are anchored at their rarest word and compared at all its places.
 
 Words are the runs of ASCII letters, digits and non-ASCII characters of the text with A-Z lower-cased, compared by a
@@ -31,6 +31,10 @@ from tidemark.llm.kernels import NOT_ALNUM, Words, slices, words
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
+# Places by which words may stand aside of a template's, where words were put in or left out.
+SHIFT = 2
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -40,17 +44,19 @@ class Template:
 
 # Openings of well-known public licence notices, and the phrases without which they don't count.
 TEMPLATES = (
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission is hereby granted", "without restriction")),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ("permission is hereby granted", "without restriction")),
     Template("mit", "Released under the MIT License", ("mit license",)),
-    Template("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("apache license", "version 2 0")),
+    Template("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("apache license", "version 2 0")),
     Template("apache", "Licensed under the Apache License, Version 2.0", ("apache license",)),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", ("general public license", "free software")),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("general public license", "free software")),
     Template("gpl", "This work is licensed under the GNU General Public License, version 3", ("general public license",)),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ("mozilla public license",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-    Template("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
+    Template("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
+    *(Template(f"cc-by{short}", f"This work is licensed under the Creative Commons Attribution{name} 4.0 International License", (f"creative commons attribution{name} 4 0",)) for short, name in (("-nc", "-NonCommercial"), ("-sa", "-ShareAlike"), ("-nd", "-NoDerivatives"), ("-nc-sa", "-NonCommercial-ShareAlike"), ("-nc-nd", "-NonCommercial-NoDerivatives"))),
+    *(Template(f"cc-by{short}", f"Licensed under CC BY{short} 4.0", (f"cc by{short} 4 0",)) for short in ("", "-nc", "-sa", "-nd", "-nc-sa", "-nc-nd")),
 )
 
 
@@ -120,14 +126,18 @@ def _matches(w: Words, index: Index, least: float) -> tuple[np.ndarray, np.ndarr
         rows, hs = starts[starts[:, 1] == t], index.templates[t]
         for block in np.array_split(rows, max(1, len(rows) * len(hs) // 2_000_000)):
             place = block[:, 2, None] + np.arange(len(hs))
-            inside = (place >= 0) & (place < len(w.hash))
-            place = np.clip(place, 0, len(w.hash) - 1)
-            share = (inside & (w.hash[place] == hs) & (w.doc[place] == block[:, 0, None])).mean(1)
+            fits = np.zeros(place.shape, bool)
+            for shift in range(-SHIFT, SHIFT + 1):
+                inside = (place + shift >= 0) & (place + shift < len(w.hash))
+                there = np.clip(place + shift, 0, len(w.hash) - 1)
+                fits |= inside & (w.hash[there] == hs) & (w.doc[there] == block[:, 0, None])
+            share = fits.mean(1)
             block, share = block[share >= least], share[share >= least]
             for key, places in zip(index.keys[t], stands[t]) if len(block) else ():
-                nxt = np.searchsorted(places, block[:, 2])
+                nxt = np.searchsorted(places, block[:, 2] - SHIFT)
                 ok = nxt < len(places)
-                ok[ok] = places[nxt[ok]] + len(key) <= block[ok, 2] + len(hs)
+                ok[ok] = places[nxt[ok]] + len(key) <= block[ok, 2] + len(hs) + SHIFT
+                ok[ok] &= w.doc[places[nxt[ok]]] == block[ok, 0]
                 block, share = block[ok], share[ok]
             found.append((block[:, 0], np.full(len(block), t), share))
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3)) if found else none
