@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.shared import stored
+from tidemark.shared import Scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -16,14 +16,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     moved. Null ends make no edge; loops give their node a component of its own; repeated edges change nothing.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
-    both = stored(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    spark = edges.sparkSession
+    room = Scratch(spark, "components")
+    both = room.stored(pairs.union(pairs.select("b", "a")).distinct(), "edges")
+    last = Scratch(spark, "labels")
+    labels = last.stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
+        now = Scratch(spark, "labels")
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        step = stored(step, "labels")
+        step = last.stored(step, "steps")
         root = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = stored(step.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = jumped.select("node", "label")
+        jumped = now.stored(step.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        last.drop()
+        labels, last = jumped.select("node", "label"), now
         if jumped.where("label <> old").isEmpty():
+            room.drop()
             return labels.withColumnRenamed("label", "component")

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; only where that is unset
-    (local tests) a temporary folder takes its place."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only on a local master, where that may
+    be unset, a temporary folder takes its place; a cluster without it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -20,6 +23,24 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage ends there."""
-    path = work_dir(df.sparkSession, label)
+    return _written(df, work_dir(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that only the building of a result reads: stored in one folder, which `drop` deletes."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, work_dir(spark, label)
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        return _written(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
