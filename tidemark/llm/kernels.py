@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _rng = np.random.default_rng(7)
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: A byte's place within its word weighs by a random odd number: that of its lower 12 bits times that of the rest.
+_PLACE = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCK = np.append(np.uint64(1), _rng.integers(0, 2**63, 1 << 19, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
@@ -86,7 +88,9 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False)
         table[separators] = 0
         values = table[data[starts[0] :]]
         place = np.arange(starts[0], n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n)))
-        values *= _POWERS[place & 4095]
+        values *= _PLACE[place & 4095]
+        if (ends - starts).max() > 4096:
+            values *= _BLOCK[place >> 12]
         h = mix(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(np.uint64))
     return Words(docs, doc, h, ends - starts, counts, np.cumsum(counts) - counts, starts, ends)
 
