@@ -11,7 +11,7 @@ the opposite order gives the text back, whatever it holds.
 The loss mask is an array of (start, length) in characters of the formatted text: each text of the trained role, without
 marks.
 
-Defined results: null text is empty; null role is the empty role; turns tie by role, then text, nulls first; repeated rows
+Defined results: null text is empty; null role is the empty role; turns tie by role, then text, as they are before escaping; repeated rows
 are turns of their own; a null conversation id is a conversation; other columns are ignored; empty input gives no rows.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 256
 ROLE, TEXT, PART, END = "<|role|>", "<|text|>", "<|part|>", "<|end|>"
 # Control strings of common chat templates, which no text may bring in.
 CONTROLS = ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
@@ -42,8 +43,10 @@ def unescape(text: Column) -> Column:
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_mask (array of start, length)."""
     empty = F.lit("")
-    turns = rows.select(F.col(f"`{conv_col}`").alias("conv_id"), F.struct(F.col(f"`{turn_col}`").alias("turn"), escape(F.coalesce(F.col(f"`{role_col}`"), empty)).alias("role"), escape(F.coalesce(F.col(f"`{text_col}`"), empty)).alias("text")).alias("t"))
+    turns = rows.select(F.col(f"`{conv_col}`").alias("conv_id"), F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), empty).alias("role"), F.coalesce(F.col(f"`{text_col}`"), empty).alias("text")).alias("t"))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # Plain texts set the order of ties; what is written is escaped.
+    chats = chats.select("conv_id", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     # Where a block starts: a role other than the one before.
     n = F.size("turns")
     same = lambda i: F.get("turns", i)["role"] == F.get("turns", i - 1)["role"]
@@ -57,8 +60,15 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     body = lambda b: F.flatten(F.transform(b["texts"], lambda t, i: F.array(segment(F.when(i > 0, PART).otherwise(""), F.lit(False)), segment(t, b["role"] == trained))))
     segments = F.flatten(F.transform("blocks", lambda b: F.concat(F.array(segment(head(b), F.lit(False))), body(b), F.array(segment(F.lit(END), F.lit(False))))))
     chats = chats.select("conv_id", segments.alias("segments"))
-    at = F.aggregate("segments", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask")), lambda acc, s: F.struct((acc["at"] + F.length(s["text"])).alias("at"), F.when(s["loss"], F.concat(acc["mask"], F.array(F.struct(acc["at"].alias("start"), F.length(s["text"]).alias("length"))))).otherwise(acc["mask"]).alias("mask")))
-    return chats.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), at["mask"].alias("loss_mask"))
+    # Places are summed up within chunks of segments, then over chunks, so that long conversations stay cheap.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("segments") - 1) / CHUNK).cast("int")), lambda i: F.slice("segments", i * CHUNK + 1, CHUNK))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
+    placed = lambda chunk: F.aggregate(chunk, start, lambda acc, s: F.struct((acc["at"] + F.length(s["text"])).alias("at"), F.when(s["loss"], F.concat(acc["mask"], F.array(F.struct(acc["at"].alias("start"), F.length(s["text"]).alias("length"))))).otherwise(acc["mask"]).alias("mask")))
+    chats = chats.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.transform(chunks, placed).alias("chunks"))
+    bases = F.aggregate("chunks", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    chats = chats.select("conv_id", "formatted", "chunks", bases.alias("bases"))
+    mask = F.flatten(F.transform("chunks", lambda c, i: F.transform(c["mask"], lambda m: F.struct((m["start"] + F.get("bases", i)).alias("start"), m["length"].alias("length")))))
+    return chats.select("conv_id", "formatted", mask.alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
