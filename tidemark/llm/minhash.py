@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import digest, text_or_empty
 from tidemark.llm.kernels import NOT_ALNUM, grams, mix, slices, whole, words
 from tidemark.operators.graph import connected_components
-from tidemark.shared import stored
+from tidemark.shared import Scratch, stored
 
 BUCKETS, SHINGLE, DAMPING, DRAWS = 1 << 20, 5, 0.2, 1 << 16
 SLACK = 1 - 1e-5  # weights of the same shingle differ by rounding
@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, digest (of its text), class_id (least id of its class), class_size, kept (true for
     the one text that stands for the class: that of the least id)."""
     spark = docs.sparkSession
+    room = Scratch(spark, "minhash")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", digest("text"))
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs, text_col)))
 
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = texts.schema["doc_id"].dataType.simpleString()
     signed = texts.mapInArrow(sign, f"doc_id {id_type}, node binary, bands array<long>")
     # Equal texts meet here, as partial aggregates: a group of copies is one row.
-    nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
+    nodes = room.stored(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
 
     def of(i: Column) -> Column:
         near, far = (F.array(*[F.get("bands", (i + step) % bands) for step in steps]) for steps in ((1, 2, 3), (bands // 2, bands // 2 + 1, bands // 2 + 2)))
@@ -204,14 +205,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = Window.partitionBy("band", "key")
     beside = F.array("centre", *[F.lag("node").over(bucket.orderBy(order, "node")) for order in ("near", "far")])
     pairs = met.select("node", beside.alias("beside")).select("node", F.explode("beside").alias("other")).where("node <> other")
-    pairs = stored(pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), "pairs")
+    pairs = room.stored(pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), "pairs")
     if pairs.isEmpty():
         edges = None
     else:
         wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
         wanted = wanted.select(F.col("node").alias("w"), "least_id")
         found = texts.join(wanted, (texts["node"] == wanted["w"]) & texts["doc_id"].eqNullSafe(wanted["least_id"]), "left_semi")
-        found = stored(found.dropDuplicates(["node"]).select("node", "text"), "texts")
+        found = room.stored(found.dropDuplicates(["node"]).select("node", "text"), "texts")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,13 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def links(some: DataFrame) -> DataFrame:
             other = found.select(F.col("node").alias("other"), F.col("text").alias("other_text"))
-            return stored(some.join(found, "node").join(other, "other").mapInArrow(verify, "src binary, dst binary, similarity double"), "links")
+            return room.stored(some.join(found, "node").join(other, "other").mapInArrow(verify, "src binary, dst binary, similarity double"), "links")
 
         edges = links(pairs.groupBy("node").agg(F.min("other").alias("other")))
         apart = connected_components(edges)
         left, right = apart.select("node", F.col("component").alias("c1")), apart.select(F.col("node").alias("other"), F.col("component").alias("c2"))
         rest = pairs.join(left, "node", "left").join(right, "other", "left").where(F.coalesce("c1", "node") != F.coalesce("c2", "other")).select("node", "other")
-        rest = stored(rest.join(pairs.groupBy("node").agg(F.min("other").alias("other")), ["node", "other"], "left_anti"), "pairs")
+        rest = room.stored(rest.join(pairs.groupBy("node").agg(F.min("other").alias("other")), ["node", "other"], "left_anti"), "pairs")
         if not rest.isEmpty():
             edges = edges.union(links(rest))
             apart = connected_components(edges)
@@ -236,9 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # In a bucket of two its only pair is tested. In others, pairs of different components may not be.
         component = F.coalesce("component", "node").alias("component")
         placed = banded.select("band", "key", "node").join(centres.where("n > 2").select("band", "key"), ["band", "key"]).join(apart, "node", "left").select("band", "key", "node", component)
-        placed = stored(placed, "placed")
+        placed = room.stored(placed, "placed")
         mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-        open_ = stored(placed.join(mixed, ["band", "key"]).select("node", "component").distinct(), "open")
+        open_ = room.stored(placed.join(mixed, ["band", "key"]).select("node", "component").distinct(), "open")
         if not open_.isEmpty():
             loose = open_.join(found, "node")
             rarity = spark.sparkContext.broadcast(shingle_counts(loose, idf))
@@ -250,9 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         which = pa.array(doc)
                         yield pa.RecordBatch.from_arrays([part.column("node").take(which), part.column("component").take(which), pa.array(g.view(np.int64)), pa.array(rest), pa.array(total)], names=["node", "component", "g", "rest", "total"])
 
-            heads_ = stored(loose.select("node", "component", "text").mapInArrow(head, "node binary, component binary, g long, rest double, total double"), "heads")
+            heads_ = room.stored(loose.select("node", "component", "text").mapInArrow(head, "node binary, component binary, g long, rest double, total double"), "heads")
             shared = heads_.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-            heads_ = stored(heads_.join(shared, "g"), "heads")
+            heads_ = room.stored(heads_.join(shared, "g"), "heads")
             # The lighter text of a pair has to share still rarer shingles. Keys are a shingle and a component, never a pair within one.
             need = threshold / (1 + threshold) * SLACK
             light = heads_.where(F.col("rest") >= 2 * need * F.col("total"))
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fit = (F.struct("t1", "n1") < F.struct("t2", "n2")) & (F.least("r1", "r2") >= need * (F.col("t1") + F.col("t2")))
             met = kinds.join(left, ["g", "c1"]).join(right, ["g", "c2"]).where(fit)
             untested = met.select(F.greatest("n1", "n2").alias("node"), F.least("n1", "n2").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-            more = links(stored(untested, "pairs"))
+            more = links(room.stored(untested, "pairs"))
             if not more.isEmpty():
                 edges = edges.union(more)
                 apart = connected_components(edges)
@@ -272,6 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         classes = nodes.join(apart, "node", "left").withColumn("root", F.coalesce("component", "node"))
     classes = stored(classes.select("node", "root", "least_id", "copies"), "classes")
+    room.drop()
     heads = classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), F.col("node").alias("node"))).alias("head"), F.sum("copies").alias("class_size"))
     member = classes.join(heads, "root").select(F.col("node").alias("of"), F.col("head.id").alias("class_id"), "class_size", (F.col("head.node") == F.col("node")).alias("heads"))
     rows_ = texts.select("doc_id", "node")
