@@ -18,31 +18,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, all columns as they are. Null and empty texts have no words and go;
+    repeated rows are judged each; empty input gives no rows."""
     return quality_rules(docs, keep_columns=True).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more share; n_chars follows. A document left without text stays, empty."""
+    """Documents without the lines that ten or more share; n_chars follows. A document left without text stays, empty; a
+    null text becomes empty; repeated rows count once among the ten and each stay; empty input gives no rows."""
     rows = line_dedup(docs).withColumn("text", kept_text())
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the least id. Repeated rows become one."""
+    """One document of each class of near duplicates: that of the least id. Of rows of one id and text the least stays;
+    null texts count as empty, null ids come last in a class; empty input gives no rows."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     rows = docs.withColumn("__of", digest("text"))
     joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__of"] == kept["__digest"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__of"]).select(*docs.columns)
+    return joined.groupBy("doc_id", "__of").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as many times as it is taken, a part of it counting as whole; untaken documents go."""
-    mixed = mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "size", "taken").dropDuplicates(["__id", "__digest"])
-    rows = docs.withColumn("__of", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["__id"]) & (rows["__of"] == mixed["__digest"]))
-    times = F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size"))).cast("int")
-    return joined.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """The mix: each document as often as its words are taken; a part is rounded up or down by a draw from its id and
+    text, so that sources keep near their targets. Texts without words go; a null source is one of its own; repeated rows
+    are mixed each; empty input gives no rows."""
+    mixed = mix_sources(docs, keep_columns=True).where("taken > 0")
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.col("size")) < F.pmod("taken", "size")
+    times = F.floor(F.col("taken") / F.col("size")).cast("int") + part.cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
