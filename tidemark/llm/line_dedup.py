@@ -1,10 +1,12 @@
 """Line dedup with compressed per-document keep bitmaps, in DataFrame functions only.
 
-Each line becomes a hash of its key (stripped, A-Z lower-cased) with its document and position; texts are not shuffled
-for that. The hashes are range-partitioned, by their first bytes and a salt, and sorted within partitions by document and
-position, so that in one stream over a partition the first occurrence in each document, and in each salted part of a hash, stands first.
-The salt splits a line that is in very many documents. Parts then meet as one row each: documents per key, and the very
-first occurrence. What comes back for a document is its keep bitmap as runs of kept lines; texts are cut by those runs.
+Each line becomes a hash of its key (stripped, A-Z lower-cased) with its document and position. The hashes are
+range-partitioned by (salt, hash) and sorted within partitions by hash, document and position, so that in one stream over
+a partition the first occurrence in each document, and in each salted part of a hash, stands first. The salt, drawn from
+the document, splits a line that is in very many documents, here and in the join that tells its places. Hashes are
+uniform, so ranges of equal width need no sampling. Parts meet as one row each: documents per key, and the very first
+occurrence. What comes back for a document is its keep bitmap as runs of kept lines. A text is shuffled once, to meet its
+bitmap, and cut by those runs.
 
 Defined results: null or empty text is one empty line; keys shorter than `min_chars` are never dropped; repeated rows
 (same id and text) count as one document and each gets its row; other columns are kept; empty input gives no rows.
@@ -28,19 +30,22 @@ def line_key(line: F.Column) -> F.Column:
     return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(ascii_lower(line))
 
 
-def drop_positions(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, keep_first: bool, salts: int) -> DataFrame:
+def drop_positions(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, keep_first: bool, salts: int, partitions: int | None = None) -> DataFrame:
     """(dk, dropped): positions, from 0 and ascending, of the lines that each document loses."""
     lines = docs.select(row_key(id_col, text_col).alias("dk"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("pos", "line"))
     keyed = lines.select("dk", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     keyed = keyed.select("dk", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("h"), F.pmod(F.xxhash64("dk"), F.lit(salts)).alias("salt"))
-    # md5 is uniform, so ranges of equal width need no sampling: a range is the hash's first two bytes.
-    placed = keyed.withColumn("range", F.substring("h", 1, 2)).repartition("range", "salt")
+    # md5 is uniform, so ranges of equal width of (salt, hash) need no sampling: they follow from the first four bytes.
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("double") / 2.0**32
+    placed = keyed.withColumn("range", F.floor((F.col("salt") + within) / salts * n).cast("int")).repartitionById(n, "range")
     stream = Window.partitionBy("range", "h", "salt").orderBy("dk", "pos")
     before = F.lag("dk").over(stream)
-    marked = stored(placed.select("h", "dk", "pos", F.when(before.eqNullSafe(F.col("dk")), 0).otherwise(1).alias("new_doc")), "lines")
+    marked = stored(placed.select("h", "salt", "dk", "pos", F.when(before.eqNullSafe(F.col("dk")), 0).otherwise(1).alias("new_doc")), "lines")
     keys = marked.groupBy("h").agg(F.sum("new_doc").alias("n_docs"), F.min(F.struct("dk", "pos")).alias("first")).where(F.col("n_docs") >= min_docs)
-    keys = keys.select(F.col("h").alias("kh"), "first")
-    hit = marked.join(keys, marked["h"] == keys["kh"])
+    # A key has one row for each salt, so that the places of a hot line meet it in many tasks.
+    keys = keys.select(F.col("h").alias("kh"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("ks"), "first")
+    hit = marked.join(keys, (marked["h"] == keys["kh"]) & (marked["salt"] == keys["ks"]))
     if keep_first:
         hit = hit.where(~((F.col("first.dk") == F.col("dk")) & (F.col("first.pos") == F.col("pos"))))
     return hit.groupBy("dk").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
