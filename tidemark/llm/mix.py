@@ -2,14 +2,17 @@
 
 Sizes are words per document. Each source gets a target: its weight's share of all words, at most `most` times its own
 size, the excess shared anew among the others (solved at once by ranking sources by limit over weight). Targets are cut
-into blocks of `block` words, and the blocks are allotted to sources by the highest quotients target / (2k + 1); each
-source's blocks are then allotted to its shards in the same way by shard size. A shard's documents stand in an order
-drawn from the seed; it gives as many whole blocks as its quota says from the front of that order, from the start again
-once all are taken. Nobody counts blocks one by one: a divisor gives nearly all seats, and only the few quotients next to
-it are ranked.
+into blocks of `block` words, and the blocks are allotted to sources by the highest quotients target / (2k + 1). A
+source's blocks are allotted in the same way to the parts of its shards, level by level, by size: groups of FAN x FAN
+shards, groups of FAN shards, shards. So no window ranks more than about FAN parties, however large a source is. Nobody
+counts blocks one by one: a divisor gives nearly all seats, and only the few quotients next to it are ranked.
+
+A shard's documents stand in an order drawn from the seed, and their words are cut into equal blocks of about `block`. Of a quota, whole rounds
+take every block; the rest are the blocks of the least ranks in a seeded permutation of the shard's blocks. A source that
+takes `most` times its size takes every block as many times.
 
 Everything is DataFrame work. A source's documents are spread over shards of about `shard_words` words, so a hot source
-is many windows; only the table of sources (one row each) and of shards meet in windows of their own.
+is many windows; only the table of sources (one row each) meets in a window of its own.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; sizes of 0 take 0; repeated rows
 each take part, in an order that doesn't change results; other columns are ignored; empty input gives no rows.
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, text_or_empty
 
+#: Parties that a level of shards has at most, as far as three levels reach (10^9 shards a source).
+FAN = 1000
+
 
 def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """sources(source, source_size) with target: the weighted share of all words, at most `most` times source_size."""
@@ -64,27 +70,53 @@ def hash32(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, block: int = 64, shard_words: int = 50_000, seed: int = 17) -> DataFrame:
+def _beside(parts: DataFrame, above: DataFrame, level: str) -> DataFrame:
+    """parts with the blocks of the group of the level above that they are in."""
+    of = above.select(F.col("source").alias("of"), F.col(level).alias("up"), "blocks")
+    return parts.join(of, parts["source"].eqNullSafe(of["of"]) & (parts[level] == of["up"])).drop("of", "up")
+
+
+def _rank(b: F.Column, n: F.Column, shard: F.Column, seed: int) -> F.Column:
+    """The rank of block b among a shard's n in a permutation drawn from seed and shard: b x a + c modulo n, for a prime
+    a that is no factor of n."""
+    prime = F.when(n % 7919 != 0, F.lit(7919)).otherwise(F.lit(7907))
+    return F.pmod(b * prime + F.pmod(F.xxhash64(shard, F.lit(seed)), n), n)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, block: int = 64, shard_words: int = 50_000, seed: int = 17, keep_columns: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target (its source's), taken (words the mix takes of it)
-    and digest (md5 of its text)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), F.md5(text_or_empty(text_col).cast("binary")).alias("digest"))
+    and digest (md5 of its text). keep_columns: and row, a struct of all columns of docs."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_columns else []
+    rows = docs.select(*kept, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), F.md5(text_or_empty(text_col).cast("binary")).alias("digest"))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     everything = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("blocks", F.round(F.sum("target").over(everything) / block).cast("long"))
     sources = sainte_lague(sources, [], "source", "target", "blocks")
-    sources = sources.select(F.col("source").alias("of"), "source_size", "target", F.col("quota").alias("source_blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"))
+    sources = sources.select(F.col("source").alias("of"), "source_size", "target", F.col("quota").alias("source_blocks"), (F.col("target") >= most * F.col("source_size")).alias("full"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"))
     # One row a source; Spark broadcasts it where its size allows and splits the join otherwise.
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of")
     placed = placed.withColumn("draw", hash32(F.lit(str(seed)), name, "digest")).withColumn("shard", F.col("draw") % F.col("n_shards"))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    shards = sainte_lague(shards, ["source"], "shard", "shard_size", "source_blocks").select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", "quota")
-    # No more than `most` times a shard, whatever whole blocks come to.
-    shards = shards.withColumn("words", F.least(F.col("quota") * block, F.floor(F.col("shard_size") * most)).cast("long"))
-    whole = placed.join(shards, placed["source"].eqNullSafe(shards["of"]) & (placed["shard"] == shards["at"]))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("votes"), F.first("source_blocks").alias("blocks"), F.first("full").alias("full"))
+    shards = shards.withColumns({"outer": F.floor(F.col("shard") / FAN**2), "middle": F.floor(F.col("shard") / FAN)})
+    outer = shards.groupBy("source", "outer").agg(F.sum("votes").alias("votes"), F.first("blocks").alias("blocks"))
+    outer = sainte_lague(outer, ["source"], "outer", "votes", "blocks").select("source", "outer", F.col("quota").alias("blocks"))
+    middle = shards.groupBy("source", "outer", "middle").agg(F.sum("votes").alias("votes"))
+    middle = sainte_lague(_beside(middle, outer, "outer"), ["source", "outer"], "middle", "votes", "blocks").select("source", "middle", F.col("quota").alias("blocks"))
+    inner = _beside(shards.select("source", "middle", "shard", "votes", "full"), middle, "middle")
+    inner = sainte_lague(inner, ["source", "middle"], "shard", "votes", "blocks")
+    inner = inner.select(F.col("source").alias("of"), F.col("shard").alias("at"), F.col("votes").alias("shard_size"), "quota", "full")
+    whole = placed.drop("full").join(inner, placed["source"].eqNullSafe(inner["of"]) & (placed["shard"] == inner["at"]))
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.greatest(F.lit(1), F.col("shard_size")))).otherwise(0)
-    rest = F.col("words") - rounds * F.col("shard_size")
-    taken = rounds * F.col("size") + F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
-    return whole.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "digest")
+    whole = whole.withColumns({"before": before, "has": F.greatest(F.lit(1), F.col("shard_size"))})
+    whole = whole.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("has") / block)).cast("long"))
+    has, n = F.col("has"), F.col("n_blocks")
+    rounds = F.when(F.col("full"), F.lit(int(most))).otherwise(F.least(F.lit(int(most)), F.floor(F.col("quota") * block / has)))
+    rest = F.when(rounds >= int(most), 0).otherwise(F.round((F.col("quota") * block - rounds * has) * n / has))
+    # The words of this document in each block that it reaches into, where the block's rank is below the rest.
+    first, last = F.floor(F.col("before") * n / has), F.floor((F.col("before") + F.greatest(F.lit(1), F.col("size")) - 1) * n / has)
+    words = lambda b: F.least(F.ceil((b + 1) * has / n), F.col("before") + F.col("size")) - F.greatest(F.ceil(b * has / n), F.col("before"))
+    drawn = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(_rank(b, n, F.col("shard"), seed) < rest, words(b)).otherwise(0))
+    taken = rounds * F.col("size") + F.when((rest > 0) & (F.col("size") > 0), drawn).otherwise(0)
+    return whole.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "digest", *(["row"] if keep_columns else []))
