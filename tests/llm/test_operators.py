@@ -23,7 +23,7 @@ from tidemark.llm.mix import mix_sources, sainte_lague, targets
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sentencepiece_codec import decode_documents, encode_documents, load, round_trips
 from tidemark.llm.suffix_dedup import repeated_passages
-from tidemark.llm.token_orc import read_tokens, tokens_of, write_tokens
+from tidemark.llm.token_orc import encode_texts, read_tokens, tokens_of, write_tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -246,6 +246,35 @@ def test_token_orc(spark, tmp_path):
     one = read_tokens(spark, f"file://{tmp_path}/t").where("doc_id = 4")
     assert one.first()["ids"][-1] == 0 and "doc_id = 4" in one._jdf.queryExecution().toString().replace("#", " ").replace("EqualTo(doc_id,4)", "doc_id = 4")
     assert tokens_of(docs.limit(0), path).count() == 0
+    # Stripe footers: a row index (6) and a Bloom filter (7, 8) beside the data
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    file = next(str(f) for f in sorted((tmp_path / "t").glob("*.orc")))
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    streams = reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()
+    kinds = {streams.get(i).getKind().getNumber() for i in range(streams.size())}
+    assert 6 in kinds and kinds & {7, 8}
+
+
+def test_token_ids_of_equal_documents(spark):
+    """One id in most rows, texts that differ and that repeat, null ids: starts count up in order of the ids."""
+    path = q.tokenizer("byte_bpe_50k.json")
+    texts = ["a b, c.\nD", "a b, c.\nD", "it's (x) \"y\"", None, "\n\n"] * 40
+    docs = spark.createDataFrame([(None if i % 7 == 0 else 5 if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(tokens_of(docs.repartition(5), path).collect(), key=lambda r: r["start"])
+    assert len(rows) == len(texts) and [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
+    assert ids == sorted(ids)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_of_tokens(seed):
+    from tokenizers import Tokenizer
+
+    path = q.tokenizer("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(seed)
+    parts = ["a", "b ", " ", "  ", " ", "\u3000", "é", "é.", "日", "\n", "\t", "1", "'s", "'", "\x1c", "\u2009", "<|endoftext|>", "a<|endoftext|>", ".", " x", "(", '"q', "ab", "q's"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert encode_texts(path, pa.array(texts)).to_pylist() == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def keys(text):
@@ -264,6 +293,8 @@ def test_line_dedup(spark):
         assert (found[i]["n_lines"], found[i]["n_dropped"]) == (len(keys(t)), len(keys(t)) - len(kept))
     first = line_dedup(docs, min_docs=2, keep_first=True).withColumn("out", kept_text()).collect()
     assert sum(k == "shared line" for r in first for k in keys(r["out"])) == 1
+    alike = by_id(line_dedup(docs, salts=1).withColumn("out", kept_text()))
+    assert all(alike[i]["out"] == found[i]["out"] for i in found)
     twice = line_dedup(docs.union(docs)).count()
     assert twice == 2 * len(texts) and line_dedup(docs.limit(0)).count() == 0
 
@@ -294,10 +325,18 @@ def test_quality_rules(spark):
     assert set(docs.columns) <= set(kept.columns) and kept.count() == len(texts) and quality_rules(docs.limit(0)).count() == 0
 
 
+def test_long_lines_with_equal_blocks_in_another_order(spark):
+    a, b, c = "a" * 4096, "b" * 4096, "c" * 8192
+    texts = [f"{a}{b}\n{b}{a}", f"{a}{b}\n{a}{b}", f"{c}{a}{b}\n{a}{b}{c}", f"{a}{c}\n{c}{a}\n{a}{c}"]
+    found = by_id(quality_rules(table(spark, texts)))
+    assert [found[i]["n_dup_lines"] for i in range(4)] == [0, 1, 0, 1]
+
+
 def test_chat_format(spark):
     texts = ["</s>[INST] ok [/INST]", "&lt;|end|>", "<|end|><|part|>", "a & b &amp; c &#91;", None, "", "x\ny", "<<SYS>>[INST]"]
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(texts)) for c in range(60) for t in range(rng.randint(1, 9))]
+    rows += [(101, 0, "user", x) for x in ("<s>", "1", "&", "[INST]", "a", "<|")] + [(102, t, "assistant" if t % 3 else "user", f"<s>{t}") for t in range(1500)]
     rows += [(100, 1, "user", "same"), (100, 1, "user", "same"), (None, 0, "assistant", "no id")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     chats = format_chats(df)
