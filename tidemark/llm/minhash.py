@@ -10,7 +10,7 @@
    two orders, never with all; each pair is verified by the exact weighted Jaccard similarity of the whole texts. The
    orders are by the keys of other bands, so that nodes stand next to those that they share more bands with: a bucket of
    texts that share little more than one passage falls apart into its classes. A second round verifies all those
-   candidates whose ends the first round left apart.
+   candidates whose ends the first rounds left apart.
 5. The texts of buckets that still hold more than one component are joined on their rarest shingles, each with the texts
    of other components. The join leaves out only pairs whose similarity is below the threshold by an exact bound, and
    all others are verified: whatever pair of a bucket has the similarity is in one class.
@@ -225,15 +225,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = found.select(F.col("node").alias("other"), F.col("text").alias("other_text"))
             return room.stored(some.join(found, "node").join(other, "other").mapInArrow(verify, "src binary, dst binary, similarity double"), "links")
 
-        edges = links(pairs.groupBy("node").agg(F.min("other").alias("other")))
-        apart = connected_components(edges)
-        left, right = apart.select("node", F.col("component").alias("c1")), apart.select(F.col("node").alias("other"), F.col("component").alias("c2"))
-        rest = pairs.join(left, "node", "left").join(right, "other", "left").where(F.coalesce("c1", "node") != F.coalesce("c2", "other")).select("node", "other")
-        rest = room.stored(rest.join(pairs.groupBy("node").agg(F.min("other").alias("other")), ["node", "other"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            edges = edges.union(links(rest))
-            apart = connected_components(edges)
-
+        def settle(untested: DataFrame, edges: DataFrame | None, apart: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+            """Tests pairs until none is left whose ends are in different components: of each node first one, then three
+            for each component that it might join, then all."""
+            for most in (1, 3, None):
+                rest = untested
+                if apart is not None:
+                    left, right = apart.select("node", F.col("component").alias("c1")), apart.select(F.col("node").alias("other"), F.col("component").alias("c2"))
+                    rest = rest.join(left, "node", "left").join(right, "other", "left").select("node", "other", F.coalesce("c1", "node").alias("c1"), F.coalesce("c2", "other").alias("c2")).where("c1 <> c2")
+                else:
+                    rest = rest.select("node", "other", F.lit(None).cast("binary").alias("c2"))
+                if most:
+                    turn = F.row_number().over(Window.partitionBy("node", "c2").orderBy("other"))
+                    rest = rest.withColumn("turn", turn).where(F.col("turn") <= most) if most > 1 else rest.groupBy("node").agg(F.min("other").alias("other"))
+                rest = room.stored(rest.select("node", "other"), "tests")
+                if rest.isEmpty():
+                    break
+                more = links(rest)
+                untested = room.stored(untested.join(rest, ["node", "other"], "left_anti"), "pairs")
+                if not more.isEmpty():
+                    edges = more if edges is None else edges.union(more)
+                    apart = connected_components(edges)
+            return edges, apart
+
+        edges, apart = settle(pairs, None, None)
+        if apart is None:
+            apart = spark.createDataFrame([], "node binary, component binary")
         # In a bucket of two its only pair is tested. In others, pairs of different components may not be.
         component = F.coalesce("component", "node").alias("component")
         placed = banded.select("band", "key", "node").join(centres.where("n > 2").select("band", "key"), ["band", "key"]).join(apart, "node", "left").select("band", "key", "node", component)
@@ -254,19 +271,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             heads_ = room.stored(loose.select("node", "component", "text").mapInArrow(head, "node binary, component binary, g long, rest double, total double"), "heads")
             shared = heads_.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
             heads_ = room.stored(heads_.join(shared, "g"), "heads")
-            # The lighter text of a pair has to share still rarer shingles. Keys are a shingle and a component, never a pair within one.
+            # The lighter text of a pair has to share still rarer shingles.
             need = threshold / (1 + threshold) * SLACK
             light = heads_.where(F.col("rest") >= 2 * need * F.col("total"))
-            kinds = light.select("g", F.col("component").alias("c1")).distinct().join(heads_.select("g", F.col("component").alias("c2")).distinct(), "g").where("c1 <> c2")
             left = light.select("g", F.col("component").alias("c1"), F.col("node").alias("n1"), F.col("rest").alias("r1"), F.col("total").alias("t1"))
             right = heads_.select("g", F.col("component").alias("c2"), F.col("node").alias("n2"), F.col("rest").alias("r2"), F.col("total").alias("t2"))
-            fit = (F.struct("t1", "n1") < F.struct("t2", "n2")) & (F.least("r1", "r2") >= need * (F.col("t1") + F.col("t2")))
-            met = kinds.join(left, ["g", "c1"]).join(right, ["g", "c2"]).where(fit)
+            fit = (F.col("c1") != F.col("c2")) & (F.struct("t1", "n1") < F.struct("t2", "n2")) & (F.least("r1", "r2") >= need * (F.col("t1") + F.col("t2")))
+            met = left.join(right, "g").where(fit)
             untested = met.select(F.greatest("n1", "n2").alias("node"), F.least("n1", "n2").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-            more = links(room.stored(untested, "pairs"))
-            if not more.isEmpty():
-                edges = edges.union(more)
-                apart = connected_components(edges)
+            edges, apart = settle(room.stored(untested, "pairs"), edges, apart)
 
     if edges is None:
         classes = nodes.withColumn("root", F.col("node"))
