@@ -2,22 +2,22 @@
 
 Suffixes are kept only at minimiser positions, chosen by content: in every run of `window` consecutive k-grams of words,
 the one with the least hash. With k + window - 1 = `min_words`, each passage of min_words words has one, at the same place
-in each of its copies. A kept suffix carries the hash of its k words and the words (16 bits each) of the `window` - 1
-places before and after, which is as far as a match reaches until the next kept suffix takes over.
-
-The suffixes are sorted by their words, then by the words before them, and each is compared with its neighbours from other
-documents: the match is extended to the right and to the left, and counts from `min_words` words on. The spans of a
-document are united.
+in each of its copies. A kept suffix carries the hash of its k words, a code of each of the `window` - 1 words after them
+for its order, and a 64-bit hash of all its words from `window` - 1 places before to as many after, which is as far as a
+match reaches until the next kept suffix takes over.
+
+The suffixes are range-partitioned and sorted by their words, so that a passage that is in very many documents spreads
+over tasks by what follows it. Neighbours are compared. Of equal whole suffixes in different documents all carried words
+are a match. Others tell how far to the right a match with any suffix can reach at most; for these the texts are read
+again, and the match is extended to both sides by the hashes of the runs of min_words words around the k-gram that the
+bound allows: a run that several documents have is a match. The first and last suffix of a partition, whose neighbours
+stand elsewhere, are always extended. So every passage of min_words words or more is found, and no word counts that is
+not equal by a 64-bit hash. The spans of a document are united.
 
 Before the shuffle each slice of a task settles what it can: a suffix whose whole carried text also stands in another
 document of the slice is a match already, and only two of each such group go on, of different documents. So a group of
 copies sends a few rows per task however large it is, and the sort is never fed a hot group.
 
-Neighbours settle passages of min_words + window - 1 words or more. For shorter ones, suffixes that share their k words
-but not all of their text are also grouped by the hash of each run of min_words words around the k-gram (at most `window`
-keys a suffix, of equal texts two documents only): a run that several documents have is a match. So every passage of
-min_words words or more is found.
-
 Words: runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined results: null or empty text has no
 words and no spans; repeated rows (same id and text) are one document; null ids get rows with a null id; ties need no
 order, equal suffixes match each other; other columns are ignored; empty input gives no rows.
@@ -56,15 +56,19 @@ def minimisers(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def contexts(w: Words, at: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `reach` words before (nearest first) and after each k-gram, 16 bits each; 0 beyond the document."""
-    short = (w.hash & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-    end = (w.first + w.counts)[w.doc[at]][:, None]
-    begin = w.first[w.doc[at]][:, None]
-    step = np.arange(reach)
-    left, right = at[:, None] - 1 - step, at[:, None] + k + step
-    last = len(short) - 1
-    return np.where(left >= begin, short[np.clip(left, 0, last)], 0).astype(np.uint16), np.where(right < end, short[np.clip(right, 0, last)], 0).astype(np.uint16)
+def contexts(w: Words, at: np.ndarray, h: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a byte for each of the `reach` words after each k-gram, 0 beyond the document; the hash of all words around it)."""
+    end, begin = (w.first + w.counts)[w.doc[at]], w.first[w.doc[at]]
+    after = np.zeros((len(at), reach), np.uint8)
+    whole_hash = h.copy()
+    last = len(w.hash) - 1
+    for j in range(reach):
+        left, right = at - 1 - j, at + k + j
+        whole_hash += np.where(left >= begin, w.hash[np.maximum(left, 0)], np.uint64(1)) * _ODD[0, j]
+        there = w.hash[np.minimum(right, last)]
+        whole_hash += np.where(right < end, there, np.uint64(1)) * _ODD[1, j]
+        after[:, j] = np.where(right < end, np.maximum(there >> np.uint64(56), np.uint64(1)), 0)
+    return after, mix(whole_hash)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,17 +83,6 @@ def _first_two(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.concatenate([first, other[np.unique(group[other], return_index=True)[1]]])
 
 
-def run_keys(h: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, whether the run lies in the document) of the runs of reach more words around each k-gram; column j has j
-    words before it."""
-    n, reach = before.shape
-    none = np.zeros((n, 1), np.uint64)
-    left, right = (np.concatenate([none, np.cumsum(x * odd[:reach], axis=1, dtype=np.uint64)], 1) for x, odd in ((before, _ODD[0]), (after, _ODD[1])))
-    step = np.arange(reach + 1)
-    inside = ((before != 0).sum(1)[:, None] >= step) & ((after != 0).sum(1)[:, None] >= reach - step)
-    return mix(mix(h)[:, None] + left + right[:, ::-1] + step.astype(np.uint64)), inside
-
-
 def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document, overlapping ones joined. Rows come in order of document and start."""
     if not len(doc):
@@ -102,18 +95,16 @@ def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _binary(x: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values; big-endian, so that they sort as the words do."""
-    size = x.shape[1] * 2
+    """Rows of a matrix of bytes as binary values."""
+    size = x.shape[1]
     offsets = np.arange(0, (len(x) + 1) * size, size, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.astype(">u2").tobytes())])
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, width).astype(np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
-FOUND = ["dk", "doc_id", "n_words", "start", "end", "keys"]
-SEED_SCHEMA = "dk binary, doc_id long, n_words long, h long, pos long, until long, before binary, after binary, settled boolean"
+SEED_SCHEMA = "dk binary, doc_id long, n_words long, h long, pos long, until long, after binary, full long, settled boolean"
+FOUND_SCHEMA = "dk binary, doc_id long, n_words long, start long, end long, right int"
+RUN_SCHEMA = "dk binary, doc_id long, n_words long, start long, key long"
+FOUND = ["dk", "doc_id", "n_words", "start", "end", "right"]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = 26) -> DataFrame:
@@ -127,108 +118,103 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch, "text", 6_000_000):
                 w = words(part.column("text"), NOT_ALNUM, lower=True)
                 at, g = minimisers(w, k, window)
-                before, after = contexts(w, at, k, reach)
-                doc = w.doc[at]
-                tables = [(np.arange(part.num_rows), None)]
                 if len(at):
-                    both = np.ascontiguousarray(np.concatenate([before, after], 1))
-                    odd = (np.arange(both.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                    key = mix(g + (both * odd).sum(1, dtype=np.uint64))
-                    full = (both != 0).sum(1) + k >= min_words
-                    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+                    after, full = contexts(w, at, g, k, reach)
+                    doc = w.doc[at]
+                    pos = at - w.first[doc]
+                    start, end = pos - np.minimum(pos, reach), np.minimum(pos + k + reach, w.counts[doc])
+                    _, group, size = np.unique(full, return_inverse=True, return_counts=True)
                     first = np.full(len(size), np.iinfo(np.int64).max)
                     np.minimum.at(first, group, doc)
                     other = np.zeros(len(size), bool)
                     np.logical_or.at(other, group, doc != first[group])
-                    done = other[group] & full
+                    done = other[group] & (end - start >= min_words)
                     lead = np.zeros(len(at), bool)  # two suffixes of each settled group go on
                     lead[_first_two(group, doc)] = True
-                    start = at - w.first[doc] - (before != 0).sum(1)
-                    end = at - w.first[doc] + k + (after != 0).sum(1)
                     spans = _united(doc[done], start[done], end[done])
-                    yield record(part, spans[0], w, np.zeros(len(spans[0]), np.int64), spans[1], spans[2], None, None)
+                    yield record(part, w, *spans)
                     on = np.flatnonzero(~done | lead)
-                    yield record(part, doc[on], w, g[on].view(np.int64), at[on] - w.first[doc[on]], np.zeros(len(on), np.int64), before[on], after[on])
-                rows = tables[0][0]
-                yield record(part, rows, w, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), None, None)
+                    yield record(part, w, doc[on], pos[on], np.zeros(len(on), np.int64), g[on].view(np.int64), after[on], full[on].view(np.int64))
+                none = np.zeros(part.num_rows, np.int64)
+                yield record(part, w, np.arange(part.num_rows), none, none)
 
-    def record(part: pa.RecordBatch, doc: np.ndarray, w: Words, h: np.ndarray, pos: np.ndarray, until: np.ndarray, before: np.ndarray | None, after: np.ndarray | None) -> pa.RecordBatch:
-        which = pa.array(doc.astype(np.int64))
-        sides = [pa.nulls(len(doc), pa.binary())] * 2 if before is None else [_binary(before), _binary(after)]
-        columns = [part.column("dk").take(which), part.column("doc_id").take(which), pa.array(w.counts[doc].astype(np.int64)), pa.array(h), pa.array(pos.astype(np.int64)), pa.array(until.astype(np.int64)), *sides, pa.array(np.full(len(doc), before is None))]
-        return pa.RecordBatch.from_arrays(columns, names=["dk", "doc_id", "n_words", "h", "pos", "until", "before", "after", "settled"])
+    def record(part: pa.RecordBatch, w: Words, doc: np.ndarray, pos: np.ndarray, until: np.ndarray, h: np.ndarray | None = None, after: np.ndarray | None = None, full: np.ndarray | None = None) -> pa.RecordBatch:
+        which, n = pa.array(doc.astype(np.int64)), len(doc)
+        suffix = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())] if h is None else [_binary(after), pa.array(full)]
+        columns = [part.column("dk").take(which), part.column("doc_id").take(which), pa.array(w.counts[doc].astype(np.int64)), pa.nulls(n, pa.int64()) if h is None else pa.array(h), pa.array(pos.astype(np.int64)), pa.array(until.astype(np.int64)), *suffix, pa.array(np.full(n, h is None))]
+        return pa.RecordBatch.from_arrays(columns, names=["dk", "doc_id", "n_words", "h", "pos", "until", "after", "full", "settled"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last rows, of which the next batch may have neighbours
-
-        def spans(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
+        def spans(table: pa.Table, begins: bool, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            """begins, last: whether no row of the partition stands before, or after, those of the table."""
             table = table.combine_chunks()
             n = table.num_rows
-            h = table["h"].to_numpy()
+            h, full, pos, words_ = (table[c].to_numpy() for c in ("h", "full", "pos", "n_words"))
             dk = np.unique(np.array(table["dk"].to_pylist(), "S16"), return_inverse=True)[1]
-            before, after = _matrix(table["before"], reach), _matrix(table["after"], reach)
-            new = np.append(True, (h[1:] != h[:-1]) | (dk[1:] != dk[:-1]))
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            ends = np.append(starts[1:], n)
-            left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            ok = np.zeros(n, bool)
-            for other in (starts[run] - 1, ends[run]):
-                near = np.flatnonzero((other >= 0) & (other < n))
-                near = near[h[other[near]] == h[near]]
-                a, b = near, other[near]
-                ll, rr = _common(before[a], before[b]), _common(after[a], after[b])
-                fit = ll + rr + k >= min_words
-                a, ll, rr = a[fit], ll[fit], rr[fit]
-                ok[a] = True
-                left[a], right[a] = np.maximum(left[a], ll), np.maximum(right[a], rr)
-            pos = table["pos"].to_numpy()
-            hit = np.flatnonzero(ok)
-            which = pa.array(hit)
-            out = pa.RecordBatch.from_arrays([table["dk"].combine_chunks().take(which), table["doc_id"].combine_chunks().take(which), table["n_words"].combine_chunks().take(which), pa.array(pos[hit] - left[hit]), pa.array(pos[hit] + k + right[hit]), pa.nulls(len(hit), pa.list_(pa.int64()))], names=FOUND)
-            # Texts of several documents that share the k-gram but not all the rest
-            alike = np.append(False, (h[1:] == h[:-1]) & (before[1:] == before[:-1]).all(1) & (after[1:] == after[:-1]).all(1))
-            text = np.cumsum(~alike) - 1
-            some, of = np.unique(h, return_inverse=True)
-            most, least = np.zeros(len(some), np.int64), np.full(len(some), n)
-            np.maximum.at(most, of, text)
-            np.minimum.at(least, of, text)
-            several = np.zeros(len(some), bool)
-            np.logical_or.at(several, of[1:], (h[1:] == h[:-1]) & (dk[1:] != dk[:-1]))
+            after = np.frombuffer(b"".join(table["after"].to_pylist()), np.uint8).reshape(n, reach)
+            starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (full[1:] != full[:-1])))
+            text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            # How far a match with a different text can reach to the right, -1 where no other has the k-gram
+            right = np.full(len(starts), -1)
+            near = np.flatnonzero(h[starts[1:]] == h[starts[:-1]])
+            reached = _common(after[starts[near]], after[starts[near + 1]])
+            np.maximum.at(right, near, reached)
+            np.maximum.at(right, near + 1, reached)
+            right[0], right[-1] = reach if begins else right[0], reach if last else right[-1]
+            ends = np.append(starts[1:], n) - 1
+            several = (dk[starts] != dk[ends])[text]
+            start, end = pos - np.minimum(pos, reach), np.minimum(pos + k + reach, words_)
+            hit = np.flatnonzero(several & (end - start >= min_words))
             loose = _first_two(text, dk)
-            loose = loose[several[of[loose]] & (most > least)[of[loose]]]
-            keys, inside = run_keys(h[loose].view(np.uint64), before[loose], after[loose])
-            at = pa.array(loose)
-            offsets = pa.array(np.arange(0, keys.size + 1, reach + 1, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel(), mask=~inside.ravel()))
-            runs = pa.RecordBatch.from_arrays([table["dk"].combine_chunks().take(at), table["doc_id"].combine_chunks().take(at), table["n_words"].combine_chunks().take(at), pa.array(pos[loose]), pa.array(pos[loose]), lists], names=FOUND)
-            # The last run and the run before it may meet rows to come. Rows told twice only give the same spans again.
-            keep = None if last else table.slice(int(starts[max(0, len(starts) - 2)]))
-            return [out, runs], keep
-
+            loose = loose[right[text[loose]] >= 0]
+            which = pa.array(np.append(hit, loose))
+            bound = pa.array(np.append(np.zeros(len(hit), np.int32), right[text[loose]].astype(np.int32)), mask=np.append(np.ones(len(hit), bool), np.zeros(len(loose), bool)))
+            out = pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(which) for c in ("dk", "doc_id", "n_words")), pa.array(np.append(start[hit], pos[loose])), pa.array(np.append(end[hit], pos[loose])), bound], names=FOUND)
+            if last:
+                return out, None
+            # The last text may go on in rows to come. Rows told twice only give the same spans again.
+            a = int(starts[-1])
+            return out, pa.concat_tables([table.slice(a, 1), table.slice(n - 1)]) if several[-1] else table.slice(a)
+
+        held, begins = None, True  # the last rows, of which the next batch may have neighbours
         for batch in batches:
             settled = batch.column("settled")
             done = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("dk", "doc_id", "n_words", "pos", "until")] + [pa.nulls(done.num_rows, pa.list_(pa.int64()))], names=FOUND)
+            yield pa.RecordBatch.from_arrays([*(done.column(c) for c in ("dk", "doc_id", "n_words", "pos", "until")), pa.nulls(done.num_rows, pa.int32())], names=FOUND)
             rest = batch.filter(pa.compute.invert(settled))
             if rest.num_rows:
-                table = pa.Table.from_batches([rest] if held is None else [*held.to_batches(), rest])
-                out, held = spans(table, False)
-                yield from out
+                table = pa.Table.from_batches([rest])
+                out, held = spans(table if held is None else pa.concat_tables([held, table]), begins, False)
+                begins = False
+                yield out
         if held is not None:
-            yield from spans(held, True)[0]
+            yield spans(held, begins, True)[0]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = words(part.column("text"), NOT_ALNUM, lower=True)
+                lists = part.column("at")
+                doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy())
+                pos, right = (lists.flatten().field(i).to_numpy() for i in (0, 1))
+                back = np.arange(window)  # words of a run before the k-gram
+                start = pos[:, None] - back
+                fit = (start >= 0) & (start + min_words <= w.counts[doc][:, None]) & (reach - back <= right[:, None])
+                at = np.unique((w.first[doc][:, None] + start)[fit])
+                which = pa.array(w.doc[at])
+                columns = [*(part.column(c).take(which) for c in ("dk", "doc_id")), pa.array(w.counts[w.doc[at]].astype(np.int64)), pa.array(at - w.first[w.doc[at]]), pa.array(grams(w, min_words)[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["dk", "doc_id", "n_words", "start", "key"])
 
     rows = docs.select(row_key(id_col, text_col).alias("dk"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     suffixes = rows.mapInArrow(seeds, SEED_SCHEMA)
-    # Settled spans travel by document, suffixes by their first words.
-    where = F.when(F.col("settled"), F.xxhash64("dk")).otherwise(F.col("h"))
-    placed = suffixes.withColumn("where", where).repartition("where").sortWithinPartitions("settled", "h", "after", "before", "dk")
-    found = stored(placed.drop("where").mapInArrow(compare, "dk binary, doc_id long, n_words long, start long, end long, keys array<long>"), "found")
-    runs = found.where("keys is not null").select("dk", "doc_id", "n_words", "start", F.posexplode("keys").alias("back", "key")).where("key is not null")
+    # Settled spans travel by document, suffixes by their first words and what follows them.
+    placed = suffixes.withColumn("h", F.coalesce("h", F.xxhash64("dk"))).repartitionByRange("h", "after", "full").sortWithinPartitions("settled", "h", "after", "full", "dk")
+    found = stored(placed.mapInArrow(compare, FOUND_SCHEMA), "found")
+    loose = found.where("right is not null").groupBy("dk").agg(F.collect_list(F.struct("start", "right")).alias("at"))
+    runs = stored(rows.join(loose, "dk").select("dk", "doc_id", "text", "at").mapInArrow(extend, RUN_SCHEMA), "runs")
     repeated = runs.groupBy("key").agg(F.min(F.xxhash64("dk")).alias("low"), F.max(F.xxhash64("dk")).alias("high")).where("low <> high").select("key")
-    begin = F.col("start") - F.col("back")
-    more = runs.join(repeated, "key").select("dk", "doc_id", "n_words", begin.alias("start"), (begin + min_words).alias("end"))
-    found = found.where("keys is null").drop("keys").union(more)
+    more = runs.join(repeated, "key").select("dk", "doc_id", "n_words", "start", (F.col("start") + min_words).alias("end"))
+    found = found.where("right is null").drop("right").union(more)
 
     by = Window.partitionBy("dk").orderBy("start", "end")
     reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
