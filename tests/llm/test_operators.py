@@ -390,6 +390,15 @@ def test_passages_cut_at_different_places(spark):
         assert {k for s in found[i]["spans"] for k in range(s["start"], s["end"])} == want, i
 
 
+def test_passages_of_too_few_words(spark):
+    """49 shared words, then words of which each two differ, whatever short code they have: no passage."""
+    passage = prose(77, 49)
+    texts = [f"x{i} {passage} w{i}" for i in range(2000)] + [f"{passage} same y{i} {prose(i, 9)}" for i in range(2)]
+    found = by_id(repeated_passages(table(spark, texts)))
+    assert {i for i in found if found[i]["repeated_words"]} == {2000, 2001}
+    assert {(s["start"], s["end"]) for i in (2000, 2001) for s in found[i]["spans"]} == {(0, 50)}
+
+
 def test_sentencepiece(spark):
     path = q.tokenizer("piece_bpe_32k.model")
     library = load(path).library
