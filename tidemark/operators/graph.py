@@ -25,11 +25,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         now = Scratch(spark, "labels")
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        step = last.stored(step, "steps")
-        root = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = now.stored(step.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        root = step.select(F.col("node").alias("of"), F.col("label").alias("up"))
+        jumped = step.join(root, step["label"] == root["of"], "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        jumped, moved = now.counted(jumped, "labels", F.col("label") != F.col("old"))
         last.drop()
         labels, last = jumped.select("node", "label"), now
-        if jumped.where("label <> old").isEmpty():
+        if not moved:
             room.drop()
             return labels.withColumnRenamed("label", "component")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -40,6 +41,12 @@ class Scratch:
     def stored(self, df: DataFrame, label: str) -> DataFrame:
         return _written(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
 
+    def counted(self, df: DataFrame, label: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+        """The stored rows, and how many of them there are, or meet the condition: counted while they are written."""
+        seen = Observation()
+        n = F.count(F.lit(1)) if condition is None else F.count(F.when(condition, F.lit(1)))
+        return self.stored(df.observe(seen, n.alias("n")), label), seen.get["n"]
+
     def drop(self) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
