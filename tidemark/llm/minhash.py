@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import digest, text_or_empty
 from tidemark.llm.kernels import NOT_ALNUM, grams, mix, slices, whole, words
-from tidemark.operators.graph import connected_components
+from tidemark.operators.graph import merged_components
 from tidemark.shared import Scratch, stored
 
 BUCKETS, SHINGLE, DAMPING, DRAWS = 1 << 20, 5, 0.2, 1 << 16
@@ -205,9 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = Window.partitionBy("band", "key")
     beside = F.array("centre", *[F.lag("node").over(bucket.orderBy(order, "node")) for order in ("near", "far")])
     pairs = met.select("node", beside.alias("beside")).select("node", F.explode("beside").alias("other")).where("node <> other")
-    pairs = room.stored(pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), "pairs")
-    if pairs.isEmpty():
-        edges = None
+    pairs, n_pairs = room.counted(pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), "pairs")
+    if not n_pairs:
+        apart = None
     else:
         wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
         wanted = wanted.select(F.col("node").alias("w"), "least_id")
@@ -221,43 +221,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ok = pa.array(s >= threshold)
                     yield pa.RecordBatch.from_arrays([part.column("node").filter(ok), part.column("other").filter(ok), pa.array(s).filter(ok)], names=["src", "dst", "similarity"])
 
-        def links(some: DataFrame) -> DataFrame:
+        def links(some: DataFrame) -> tuple[DataFrame, int]:
             other = found.select(F.col("node").alias("other"), F.col("text").alias("other_text"))
-            return room.stored(some.join(found, "node").join(other, "other").mapInArrow(verify, "src binary, dst binary, similarity double"), "links")
-
-        def settle(untested: DataFrame, edges: DataFrame | None, apart: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-            """Tests pairs until none is left whose ends are in different components: of each node first one, then three
-            for each component that it might join, then all."""
-            for most in (1, 3, None):
-                rest = untested
-                if apart is not None:
-                    left, right = apart.select("node", F.col("component").alias("c1")), apart.select(F.col("node").alias("other"), F.col("component").alias("c2"))
-                    rest = rest.join(left, "node", "left").join(right, "other", "left").select("node", "other", F.coalesce("c1", "node").alias("c1"), F.coalesce("c2", "other").alias("c2")).where("c1 <> c2")
-                else:
-                    rest = rest.select("node", "other", F.lit(None).cast("binary").alias("c2"))
-                if most:
-                    turn = F.row_number().over(Window.partitionBy("node", "c2").orderBy("other"))
-                    rest = rest.withColumn("turn", turn).where(F.col("turn") <= most) if most > 1 else rest.groupBy("node").agg(F.min("other").alias("other"))
-                rest = room.stored(rest.select("node", "other"), "tests")
-                if rest.isEmpty():
-                    break
-                more = links(rest)
-                untested = room.stored(untested.join(rest, ["node", "other"], "left_anti"), "pairs")
-                if not more.isEmpty():
-                    edges = more if edges is None else edges.union(more)
-                    apart = connected_components(edges)
-            return edges, apart
-
-        edges, apart = settle(pairs, None, None)
-        if apart is None:
-            apart = spark.createDataFrame([], "node binary, component binary")
+            return room.counted(some.join(found, "node").join(other, "other").mapInArrow(verify, "src binary, dst binary, similarity double"), "links")
+
+        def settle(first: DataFrame, untested: DataFrame, apart: DataFrame | None) -> DataFrame:
+            """Components after testing the first pairs, then those untested ones whose ends are still apart."""
+            more, n = links(first)
+            if n:
+                apart = merged_components(apart, more)
+            if apart is None:
+                apart = spark.createDataFrame([], "node binary, component binary")
+            left, right = apart.select("node", F.col("component").alias("c1")), apart.select(F.col("node").alias("other"), F.col("component").alias("c2"))
+            rest = untested.join(first, ["node", "other"], "left_anti").join(left, "node", "left").join(right, "other", "left").where(F.coalesce("c1", "node") != F.coalesce("c2", "other"))
+            rest, n = room.counted(rest.select("node", "other"), "tests")
+            more, n = links(rest) if n else (None, 0)
+            return merged_components(apart, more) if n else apart
+
+        apart = settle(pairs.groupBy("node").agg(F.min("other").alias("other")), pairs, None)
+
         # In a bucket of two its only pair is tested. In others, pairs of different components may not be.
         component = F.coalesce("component", "node").alias("component")
         placed = banded.select("band", "key", "node").join(centres.where("n > 2").select("band", "key"), ["band", "key"]).join(apart, "node", "left").select("band", "key", "node", component)
         placed = room.stored(placed, "placed")
         mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-        open_ = room.stored(placed.join(mixed, ["band", "key"]).select("node", "component").distinct(), "open")
-        if not open_.isEmpty():
+        open_, n = room.counted(placed.join(mixed, ["band", "key"]).select("node", "component").distinct(), "open")
+        if n:
             loose = open_.join(found, "node")
             rarity = spark.sparkContext.broadcast(shingle_counts(loose, idf))
 
@@ -278,10 +267,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             right = heads_.select("g", F.col("component").alias("c2"), F.col("node").alias("n2"), F.col("rest").alias("r2"), F.col("total").alias("t2"))
             fit = (F.col("c1") != F.col("c2")) & (F.struct("t1", "n1") < F.struct("t2", "n2")) & (F.least("r1", "r2") >= need * (F.col("t1") + F.col("t2")))
             met = left.join(right, "g").where(fit)
-            untested = met.select(F.greatest("n1", "n2").alias("node"), F.least("n1", "n2").alias("other")).distinct().join(pairs, ["node", "other"], "left_anti")
-            edges, apart = settle(room.stored(untested, "pairs"), edges, apart)
-
-    if edges is None:
+            # Of each text first up to three pairs for each component that it might join.
+            ends = met.select(F.greatest("n1", "n2").alias("node"), F.least("n1", "n2").alias("other"), F.when(F.col("n1") < F.col("n2"), F.col("c1")).otherwise(F.col("c2")).alias("c"))
+            untested, n = room.counted(ends.distinct().join(pairs, ["node", "other"], "left_anti"), "pairs")
+            if n:
+                turn = F.row_number().over(Window.partitionBy("node", "c").orderBy("other"))
+                first = untested.withColumn("turn", turn).where("turn <= 3").select("node", "other")
+                apart = settle(room.stored(first, "tests"), untested.select("node", "other"), apart)
+
+    if apart is None:
         classes = nodes.withColumn("root", F.col("node"))
     else:
         classes = nodes.join(apart, "node", "left").withColumn("root", F.coalesce("component", "node"))
