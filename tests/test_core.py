@@ -1,3 +1,4 @@
+import math
 """The core operators on hand-made rows, and their queries against SQL on the smallest tables."""
 
 import datetime as dt
@@ -117,3 +118,28 @@ def test_oracle(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_student_p_of_many_degrees(spark):
+    """Both forms around their border, and far beyond it, against the density summed up finely."""
+    def exact(t, df):
+        n = 400_000
+        top = 60.0
+        xs = [t + (top - t) * (i + 0.5) / n for i in range(n)]
+        c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+        return 2 * (top - t) / n * sum(math.exp(c - (df + 1) / 2 * math.log1p(x * x / df)) for x in xs)
+
+    for t, df in ((0.5, 1000), (0.5, 1001), (2.5, 1001), (3.5, 5000), (1.96, 100_000)):
+        p = spark.range(1).select(ledger.student_p(F.lit(t), F.lit(df)).alias("p")).first()["p"]
+        assert p == pytest.approx(exact(t, df), rel=1e-6)
+    far = spark.range(1).select(ledger.student_p(F.lit(1.959963984540054), F.lit(10**9)).alias("p")).first()["p"]
+    assert far == pytest.approx(0.05, abs=1e-9)
+
+
+def test_stories_without_titles_and_with_two_keys(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, None, "same body", "TERTIARY", day), (2, None, "same body", "SECONDARY", day), (3, None, "other", "TERTIARY", day), (4, "Title - Wire", "x", "TERTIARY", day), (5, "title", "y", "TERTIARY", day), (6, "Plan\t- Some Wire", "z", "TERTIARY", day), (7, "plan - some wire", "z", "TERTIARY", day), (8, "Plan", "q", "PRIMARY", day), (9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "source_id long, title string, body string, reliability string, published_at timestamp")
+    got = {r["source_id"]: r["duplicate_of"] for r in text.dedupe_documents(docs).collect()}
+    assert got == {1: 2, 2: None, 3: None, 4: None, 5: 4, 6: 8, 7: 8, 8: None, 9: None}
+    assert text.dedupe_documents(docs.limit(0)).count() == 0

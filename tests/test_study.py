@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,28 @@ def test_streams(spark, tmp_path):
     for i in range(2):
         items.resolving(source, str(tmp_path / "out"), ["id"], lambda b: b.select("id", F.lit("OK").alias("outcome")), str(tmp_path / f"ck{i}")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_bootstrap_against_numpy(spark):
+    """Skewed values, two groups: the interval of 2000 resamples is that of numpy's resamples, within their own noise."""
+    rng = np.random.default_rng(1)
+    values = {"a": rng.exponential(1.0, 300), "b": rng.normal(-2, 3, 800)}
+    rows = spark.createDataFrame([(g, i, float(x)) for g, v in values.items() for i, x in enumerate(v)], "g string, id long, x double")
+    got = {r.g: r for r in strategy.bootstrap_interval(strategy.bootstrap_means(rows, ["g"], "x", ["id"]), ["g"]).collect()}
+    for g, v in values.items():
+        means = rng.choice(v, (4000, len(v))).mean(1)
+        assert got[g].replicates == 2000
+        for have, want in ((got[g].ci_low, np.quantile(means, 0.025)), (got[g].ci_high, np.quantile(means, 0.975))):
+            assert abs(have - want) < 0.25 * means.std()
+
+
+def test_permutation_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, 400)
+    picked = np.arange(400) < 60
+    x[picked] += 0.2
+    rows = spark.createDataFrame([("g", i, float(a), bool(b)) for i, (a, b) in enumerate(zip(x, picked))], "g string, id long, x double, picked boolean")
+    one = strategy.permutation_p(rows, ["g"], "x", "picked", "id").first()
+    draws = np.array([rng.choice(x, 60, replace=False).mean() for _ in range(6000)])
+    want = (np.abs(draws - x.mean()) >= abs(x[picked].mean() - x.mean())).mean()
+    assert one.n == 60 and abs(one.p - want) < 5 * np.sqrt(want * (1 - want) / 2000) + 0.005

@@ -22,16 +22,9 @@ def asof_close(requests: DataFrame, bars: DataFrame, at: str, out: str = "price"
     return asked.unionByName(known).withColumn(out, last).where("__kind = 1").select("request.*", out)
 
 
-def day_prices(bars: DataFrame, until: Column) -> DataFrame:
-    """(day, price) of one series for each calendar day up to `until`: the benchmark's as-of table, small by nature."""
-    following = F.lead("ts").over(Window.orderBy("ts"))
-    rows = bars.select("ts", "close", (F.coalesce(following, until + F.expr("interval 1 day")) - F.expr("interval 1 day")).alias("last"))
-    return rows.select(F.explode(F.sequence("ts", F.greatest("ts", "last"), F.expr("interval 1 day"))).alias("day"), F.col("close").alias("price"))
-
-
 def price_at(requests: DataFrame, bars: DataFrame, offsets: Sequence[int], time_col: str, key: str) -> DataFrame:
     """(key, offset, price): the as-of close `offset` days from each request's time, all offsets in one pass."""
-    asked = requests.select(key, "entity", time_col, F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset"))
+    asked = requests.select(*dict.fromkeys([key, "entity", time_col]), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset"))
     asked = asked.withColumn("at", F.col(time_col) + F.make_interval(days=F.col("offset")))
     return asof_close(asked, bars, "at").select(key, "offset", "price")
 
@@ -43,6 +36,16 @@ def prices_wide(requests: DataFrame, bars: DataFrame, offsets: Sequence[int], ti
     return long.groupBy(key).agg(*[F.max(F.when(F.col("offset") == o, F.col("price"))).alias(name(o)) for o in offsets])
 
 
+def with_market(events: DataFrame, bench: DataFrame, offsets: Sequence[int], time_col: str = "published_at") -> DataFrame:
+    """events with a column per offset of the benchmark's as-of price. Prices are looked up once for each day that has
+    events, a table as small as the calendar, and meet the events by equality of day: however many events there are, only
+    days stand in the benchmark's window. The benchmark has daily bars."""
+    day = F.date_trunc("day", F.col(time_col))
+    days = events.select(day.alias("__day")).where("__day is not null").distinct().withColumn("entity", F.lit("ALL"))
+    prices = prices_wide(days, bench, offsets, "__day", "__day", "b").withColumnRenamed("__day", "__of")
+    return events.join(prices, day == prices["__of"], "left").drop("__of")
+
+
 def growth(start: Column, end: Column) -> Column:
     return F.when(start > 0, end / start - 1)
 
@@ -51,15 +54,14 @@ def abnormal_returns(events: DataFrame, bars: DataFrame, bench: DataFrame, horiz
     """events x horizons with entity_return, bench_return, realized (their difference) and outcome_status."""
     offsets = [0, *horizons]
     own = prices_wide(events, bars, offsets, "published_at", "event_id", "e")
-    market = prices_wide(events.withColumn("entity", F.lit("ALL")), bench, offsets, "published_at", "event_id", "b")
-    rows = events.join(own, "event_id").join(market, "event_id")
+    rows = with_market(events.join(own, "event_id"), bench, offsets)
     each = F.array(*[F.struct(F.lit(h).alias("horizon_days"), growth(F.col("e_p0"), F.col(f"e_p{h}")).alias("entity_return"), growth(F.col("b_p0"), F.col(f"b_p{h}")).alias("bench_return")) for h in horizons])
     out = rows.withColumn("h", F.explode(each)).select(*events.columns, "h.*").withColumn("realized", F.col("entity_return") - F.col("bench_return"))
     return out.withColumn("outcome_status", F.when(F.col("realized").isNull(), "INSUFFICIENT_DATA").otherwise("OK"))
 
 
 def regime(start: Column, end: Column) -> Column:
-    """The market's state from its return over 60 days."""
+    """The market's state from its return over 60 days. Fixed values: -0.10 and 0.10."""
     r = growth(start, end)
     return F.when(r.isNull(), "UNKNOWN").when(r < -0.10, "RISK_OFF").when(r > 0.10, "RISK_ON").otherwise("NORMAL")
 

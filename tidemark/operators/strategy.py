@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,16 +52,20 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: Chances that a row is drawn at most 0, 1, 2 ... times in a resample: Poisson with mean 1.
+_AT_MOST = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
 def bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], replicates: int = 2000, seed: int = 20240601) -> DataFrame:
-    """Means of each group's resamples with replacement: (keys, replicate, mean). Each place of a resample draws the
-    number of a row, and draws meet rows by that number: counts of draws per row come first, so that a row is joined once
-    per replicate."""
-    by = Window.partitionBy(*keys)
-    numbered = rows.where(F.col(value).isNotNull()).select(*keys, value, *[c for c in order if c not in keys]).withColumn("__i", F.row_number().over(by.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
-    label = F.concat_ws("/", *keys)
-    drawn = numbered.select(*keys, "__i", "__n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__i", draw(seed, label, F.col("replicate"), F.col("__i")) % F.col("__n"))
-    times = drawn.groupBy(*keys, "replicate", "__i", "__n").agg(F.count(F.lit(1)).alias("__times"))
-    return times.join(numbered.select(*keys, "__i", value), [*keys, "__i"]).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("__times")) / F.first("__n")).alias("mean"))
+    """Means of each group's resamples with replacement: (keys, replicate, mean). Each row draws how many times it is in a
+    resample, Poisson with mean 1, from the seed, the replicate and its `order` columns; sums of draws and of drawn values
+    are partial sums of each task, so that only a row per group and replicate is shuffled, whatever a group's size. A
+    resample without rows has no mean."""
+    drawn = rows.where(F.col(value).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "replicate", *keys, *order), 11) / 2.0**53
+    times = sum((u >= c).cast("int") for c in _AT_MOST)
+    sums = drawn.select(*keys, "replicate", value, times.alias("__times")).groupBy(*keys, "replicate").agg(F.sum(F.col(value) * F.col("__times")).alias("__sum"), F.sum("__times").alias("__n"))
+    return sums.where("__n > 0").select(*keys, "replicate", (F.col("__sum") / F.col("__n")).alias("mean"))
 
 
 def bootstrap_interval(means: DataFrame, keys: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -70,11 +75,17 @@ def bootstrap_interval(means: DataFrame, keys: Sequence[str], level: float = 0.9
 
 def permutation_p(pool: DataFrame, keys: Sequence[str], value: str, picked: str, row_id: str, replicates: int = 2000, seed: int = 20240601) -> DataFrame:
     """Per group: the share of same-size draws from the group's pool, without replacement, whose mean is at least as far
-    from the pool's mean as that of the picked rows. A draw is the rows of least md5 number in its replicate."""
+    from the pool's mean as that of the picked rows. A draw is the rows of least hash in its replicate."""
     by = Window.partitionBy(*keys)
-    rows = pool.where(F.col(value).isNotNull()).withColumn("__k", F.count(F.when(F.col(picked), 1)).over(by)).withColumn("__mean", F.avg(value).over(by))
+    rows = pool.where(F.col(value).isNotNull()).withColumn("__k", F.count(F.when(F.col(picked), 1)).over(by)).withColumn("__mean", F.avg(value).over(by)).withColumn("__n", F.count(F.lit(1)).over(by))
     real = rows.groupBy(*keys).agg(F.first("__k").alias("n"), F.first("__mean").alias("pool_mean"), F.abs(F.avg(F.when(F.col(picked), F.col(value))) - F.first("__mean")).alias("deviation"))
-    many = rows.select(*keys, value, row_id, "__k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rank = F.row_number().over(Window.partitionBy(*keys, "replicate").orderBy(draw(seed, F.col("replicate"), F.col(row_id)), row_id))
-    means = many.withColumn("__r", rank).where(F.col("__r") <= F.col("__k")).groupBy(*keys, "replicate").agg(F.avg(value).alias("mean"))
+    many = rows.select(*keys, value, row_id, "__k", "__n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "replicate", row_id), 11) / 2.0**53)
+    # Of the k least of n draws, those well below k / n are sure; only the few around it need ranks. The band is missed by
+    # one replicate in 10^9.
+    at, wide = F.col("__u") * F.col("__n"), 6 * F.sqrt(F.col("__k")) + 20
+    sure = many.where(at <= F.col("__k") - wide).groupBy(*keys, "replicate").agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__sure"))
+    near = many.where((at > F.col("__k") - wide) & (at <= F.col("__k") + wide))
+    near = near.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "replicate").orderBy("__u", row_id))).join(sure, [*keys, "replicate"], "left")
+    near = near.where(F.col("__r") <= F.col("__k") - F.coalesce("__sure", F.lit(0)))
+    means = near.groupBy(*keys, "replicate").agg(((F.coalesce(F.first("__sum"), F.lit(0.0)) + F.sum(value)) / F.first("__k")).alias("mean"))
     return means.join(real, [*keys]).groupBy(*keys).agg(F.first("n").alias("n"), F.first("deviation").alias("deviation"), F.avg((F.abs(F.col("mean") - F.col("pool_mean")) >= F.col("deviation") - 1e-12).cast("double")).alias("p"))

@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import connected_components
+from tidemark.shared import Scratch
+
 # Trust in a source, best first.
 RELIABILITY = ("PRIMARY", "SECONDARY", "TERTIARY")
 
@@ -28,14 +31,25 @@ def title_key(title: Column) -> Column:
 
 
 def dedupe_documents(docs: DataFrame) -> DataFrame:
-    """docs with title_key and duplicate_of: the most trusted, then earliest, then least document of the same title key;
-    null for that document itself. Partial minima and a join, so a title that very many share is no hot window. Equal
-    fingerprints have equal title keys, so the key alone groups."""
+    """docs with title_key and duplicate_of: the most trusted, then earliest, then least document of the same story; null
+    for that document itself. Documents of one title key or one fingerprint are one story, and what these join; without a
+    title the fingerprint alone counts. Partial minima and joins, so a title that very many share is no hot window; only
+    title keys that share a fingerprint with another are looked at as a graph."""
     rank = F.array_position(F.array(*[F.lit(r) for r in RELIABILITY]), F.col("reliability"))
     rank = F.when(rank > 0, rank).otherwise(len(RELIABILITY) + 1)
-    keyed = docs.withColumn("title_key", title_key(F.col("title")))
-    heads = keyed.groupBy("title_key").agg(F.min(F.struct(rank, "published_at", "source_id"))["source_id"].alias("head"))
-    return keyed.join(heads, "title_key").withColumn("duplicate_of", F.when(F.col("head") != F.col("source_id"), F.col("head"))).drop("head")
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    keyed = docs.withColumns({"title_key": title_key(F.col("title")), "__fingerprint": fingerprint(title, body)})
+    keyed = keyed.withColumn("__story", F.coalesce("title_key", F.concat(F.lit("#"), "__fingerprint")))
+    pairs = keyed.select("__fingerprint", "__story").distinct()
+    several = pairs.groupBy("__fingerprint").agg(F.min("__story").alias("src"), F.max("__story").alias("high")).where("src <> high")
+    room = Scratch(docs.sparkSession, "stories")
+    edges, n = room.counted(pairs.join(several, "__fingerprint").select("src", F.col("__story").alias("dst")), "edges")
+    if n:
+        joined = connected_components(edges).select(F.col("node").alias("__of"), "component")
+        keyed = keyed.join(joined, keyed["__story"] == joined["__of"], "left").withColumn("__story", F.coalesce("component", "__story")).drop("__of", "component")
+    room.drop()
+    heads = keyed.groupBy("__story").agg(F.min(F.struct(rank, "published_at", "source_id"))["source_id"].alias("head"))
+    return keyed.join(heads, "__story").withColumn("duplicate_of", F.when(F.col("head") != F.col("source_id"), F.col("head"))).drop("head", "__story", "__fingerprint")
 
 
 def independent_sources(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,8 +63,11 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
 
 def split_clauses(docs: DataFrame, contrast: Sequence[str], least: int = 1) -> DataFrame:
     """One row per clause with clause_index: sentences, cut at contrast words, trimmed, those under `least` dropped."""
-    sentences = F.split("body", r"(?<=[.!?])\s+")
-    cut = F.flatten(F.transform(sentences, lambda s: F.split(s, rf"(?i)\b({'|'.join(contrast)})\b")))
+    sentences = F.split("body", r"(?<=[.!?])[ \t\n\f\r]+")
+    letters = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c for c in w) for w in contrast)
+    # Twice, as contrast words next to each other share the character between them.
+    once = lambda s: F.regexp_replace(s, f"(^|[^A-Za-z0-9_])({letters})($|[^A-Za-z0-9_])", "$1\x02$3")
+    cut = F.flatten(F.transform(sentences, lambda s: F.split(once(once(s)), "\x02")))
     clean = F.filter(F.transform(cut, lambda c: F.btrim(c, F.lit(" ,.;:"))), lambda c: c != "")
     rows = docs.select(*docs.columns, F.posexplode(clean).alias("clause_index", "clause"))
     return rows.where(F.length("clause") >= least)

@@ -63,8 +63,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with regime, trailing returns, volatility and their bins, as of its time."""
     events = views.market_events(spark, sf_dir)
     own = asof.prices_wide(events, views.bars(spark, sf_dir), OFFSETS, "published_at", "event_id", "e")
-    market = asof.prices_wide(events.withColumn("entity", F.lit("ALL")), views.bench_bars(spark, sf_dir), (0, -20, -60), "published_at", "event_id", "b")
-    rows = events.join(own, "event_id").join(market, "event_id")
+    rows = asof.with_market(events.join(own, "event_id"), views.bench_bars(spark, sf_dir), (0, -20, -60))
     c = F.col
     returns = [asof.growth(c("e_m20"), c("e_m15")), asof.growth(c("e_m15"), c("e_m10")), asof.growth(c("e_m10"), c("e_m5")), asof.growth(c("e_m5"), c("e_p0"))]
     mean = sum(returns) / 4

@@ -18,8 +18,8 @@ AREAS = {"revenue": ("that",), "demand": ("for",), "regulatory": ("in",), "guida
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of the English documents."""
-    return text.split_clauses(views.documents(spark, sf_dir).where("lang = 'en'"), CONTRAST)
+    """Clauses of all documents."""
+    return text.split_clauses(views.documents(spark, sf_dir), CONTRAST)
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,13 @@ TABLES = {
       substr(string_split(text, chr(10))[1], 1, 60) as title, text as body, lang, case when doc_id % 10 = 0 then 'filing' else 'news' end as source_type,
       case when quality = 1 then 'SECONDARY' else 'TERTIARY' end as reliability from documents left join labels using (doc_id)""",
     "docs_k": f"""select *, {_KEY} as title_key from docs_v""",
-    "docs_d": """select k.*, case when head <> source_id then head end as duplicate_of from docs_k k
-      join (select title_key, arg_min(source_id, row(case reliability when 'PRIMARY' then 1 when 'SECONDARY' then 2 when 'TERTIARY' then 3 else 4 end, published_at, source_id)) as head from docs_k group by 1) using (title_key)""",
-    "parts": r"""select source_id, source_type, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
-      lambda s: string_split(regexp_replace(s, '(?i)\b(as)\b', chr(2), 'g'), chr(2)))), lambda c: trim(c, ' ,.;:')), lambda c: c <> '') as cs from docs_v where lang = 'en'""",
+    # Rounds of the least label by title and by fingerprint: more than chains of these tables are long.
+    "story0": f"select *, source_id as label, coalesce(title_key, '#' || source_id) as by_title, sha256({_SQUEEZE.format("coalesce(title, '')")} || '|' || substr({_SQUEEZE.format("coalesce(body, '')")}, 1, 400)) as by_print from docs_k",
+    **{f"story{i + 1}": f"select * replace (min(label) over (partition by {'by_print' if i % 2 else 'by_title'}) as label) from story{i}" for i in range(6)},
+    "docs_d": """select k.* exclude (label, by_title, by_print), case when head <> source_id then head end as duplicate_of from story6 k
+      join (select label, arg_min(source_id, row(case reliability when 'PRIMARY' then 1 when 'SECONDARY' then 2 when 'TERTIARY' then 3 else 4 end, published_at, source_id)) as head from story6 group by 1) using (label)""",
+    "parts": r"""select source_id, source_type, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(body, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)),
+      lambda s: string_split(regexp_replace(regexp_replace(s, '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), chr(2)))), lambda c: trim(c, ' ,.;:')), lambda c: c <> '') as cs from docs_v""",
     "clauses": "select source_id, source_type, unnest(cs) as clause, generate_subscripts(cs, 1) - 1 as clause_index from parts",
 }
 

@@ -19,7 +19,7 @@ TAGS = {"Revenues": ("Revenues", "Sales"), "OperatingCashFlow": ("Cash",), "Capi
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = text.dedupe_documents(views.documents(spark, sf_dir)).where("lang = 'en'")
+    docs = text.dedupe_documents(views.documents(spark, sf_dir))
     rows = text.split_clauses(docs, news.CONTRAST)
     rows = rows.withColumns({"area": text.affected_area(F.col("clause"), news.AREAS), "sentiment": text.sentiment(F.col("clause"), news.POSITIVE, news.NEGATIVE, news.NEGATION), "evidence_type": text.evidence_type(F.col("clause"), F.col("source_type"), news.CUES)})
     return research.timeline_events(rows, EVENT_TYPES)
@@ -30,7 +30,7 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of the English documents, each with a figure made of its document's and its own number in front."""
+    """Clauses of all documents, each with a figure made of its document's and its own number in front."""
     rows = news.clauses(spark, sf_dir).withColumn("sentiment", text.sentiment(F.col("clause"), news.POSITIVE, news.NEGATIVE, news.NEGATION))
     n = (F.col("source_id") + F.col("clause_index")) % 400
     figure = F.when(n % 4 == 0, F.concat(F.when(n % 8 == 0, "-").otherwise(""), n.cast("string"), F.lit(" percent "))).when(n % 4 == 1, F.concat(n.cast("string"), F.lit(".5 bps "))).when(n % 4 == 2, F.concat(F.lit("$"), n.cast("string"), F.lit(" million "))).otherwise("")
@@ -75,8 +75,8 @@ def _anchored(x: str, unit: str) -> str:
 
 
 TABLES = news.TABLES | {
-    "all_parts": r"""select *, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
-      lambda s: string_split(regexp_replace(s, '(?i)\b(as)\b', chr(2), 'g'), chr(2)))), lambda c: trim(c, ' ,.;:')), lambda c: c <> '') as cs from docs_d where lang = 'en'""",
+    "all_parts": r"""select *, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(body, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)),
+      lambda s: string_split(regexp_replace(regexp_replace(s, '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), chr(2)))), lambda c: trim(c, ' ,.;:')), lambda c: c <> '') as cs from docs_d""",
     "every_clause": "select * exclude (cs), unnest(cs) as clause, generate_subscripts(cs, 1) - 1 as clause_index from all_parts",
     "labelled": f"""select *, case {' '.join(f"when {news._any(w)} then '{a}'" for a, w in news.AREAS.items())} end as area, {_SENTIMENT} as sentiment,
       case when source_type = 'filing' then 'FACT' when contains(lower(clause), 'be ') then 'SPECULATION' when contains(lower(clause), 'it ') then 'INTERPRETATION' else 'REPORTING' end as evidence_type from every_clause""",
