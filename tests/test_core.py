@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import asof, ledger, technical, text
-from tidemark.operators.graph import connected_components
+from tidemark.operators.graph import connected_components, merged_components
 from tidemark.plans import market, news
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +143,11 @@ def test_stories_without_titles_and_with_two_keys(spark):
     got = {r["source_id"]: r["duplicate_of"] for r in text.dedupe_documents(docs).collect()}
     assert got == {1: 2, 2: None, 3: None, 4: None, 5: 4, 6: 8, 7: 8, 8: None, 9: None}
     assert text.dedupe_documents(docs.limit(0)).count() == 0
+
+
+def test_merged_components(spark):
+    edge = lambda rows: spark.createDataFrame(rows, "src int, dst int")
+    known = merged_components(None, edge([(1, 2), (4, 3), (8, 9)]))
+    got = {r["node"]: r["component"] for r in merged_components(known, edge([(2, 4), (5, 9), (6, 7), (1, 2), (None, 3)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 8: 5, 9: 5, 6: 6, 7: 6}
+    assert {r["node"] for r in merged_components(known, edge([])).collect()} == {1, 2, 3, 4, 8, 9}
