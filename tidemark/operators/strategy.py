@@ -38,6 +38,15 @@ def trade_outcomes(paths: DataFrame, id_cols: Sequence[str], action: str = "acti
     return rows.withColumns({"raw_return": raw, "realized_return": F.when(long, raw).otherwise(-raw), "mfe": F.array_max(F.transform("path", best)), "mae": F.array_min(F.transform("path", worst)), "invalidation_day": F.when(beyond > 0, beyond - 1), "holding_days": F.datediff(F.element_at("path", -1)["ts"], F.col("path")[0]["ts"])}).drop("path", "level")
 
 
+def strategy_report(outcomes: DataFrame, keys: Sequence[str], cost: float = COST) -> DataFrame:
+    """Per group of at least two trades: expectancy and win rate after costs, profit factor (trades that gain nothing are
+    losses; null where nothing was lost), Sortino ratio over all trades, mean best and worst excursion."""
+    net = F.col("realized_return") - cost
+    out = outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trades"), F.avg(net).alias("expectancy"), F.avg((net > 0).cast("double")).alias("win_rate"), F.sum(F.when(net > 0, net)).alias("__won"), F.sum(F.when(net <= 0, net)).alias("__lost"), F.sqrt(F.avg(F.pow(F.least(net, F.lit(0.0)), F.lit(2.0)))).alias("__down"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"))
+    out = out.where("n_trades >= 2").withColumns({"profit_factor": F.when(F.col("__lost") < 0, F.col("__won") / F.abs("__lost")), "sortino_per_trade": F.when(F.col("__down") > 0, F.col("expectancy") / F.col("__down"))})
+    return out.drop("__won", "__lost", "__down")
+
+
 def decide(rows: DataFrame, effect: str, low: str, high: str, margin: Column | float = MARGIN, cost: float = COST) -> DataFrame:
     """rows with action and abstain_reason: no effect without evidence, none whose interval holds zero, none below the
     margin of costs; then by sign."""
