@@ -245,12 +245,16 @@ def load(path: str) -> Model:
     return _MODELS[path]
 
 
-def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the ids of each text, array<int>. model: path of the model file, readable on every executor."""
-    docs = docs.drop(ids_col)
+def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the ids of each text, array<int>, and in decoded_col, if named, the text that these ids give back, in the
+    same pass. model: path of the model file, readable on every executor. Null and empty texts have no ids and decode to
+    empty; columns of docs under the names of the new ones are replaced; repeated rows each stay; empty input gives no rows."""
+    new = [ids_col, *([decoded_col] if decoded_col else [])]
     rows = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    docs = docs.drop(*new)
+    rows = rows.drop(*new)
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{ids_col}` array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{ids_col}` array<int>", *(f"`{c}` string" for c in new[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
@@ -258,8 +262,10 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_co
             for part in slices(batch, "__text"):
                 ids = m.encode(part.column("__text").to_pylist())
                 offsets = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=[*names, ids_col])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))]
+                if decoded_col:
+                    made.append(pa.array([m.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, *new])
 
     return rows.mapInArrow(run, schema)
 
