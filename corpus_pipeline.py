@@ -50,8 +50,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
-    return encode_documents(docs.select("doc_id", "source", "text"), tokenizer("piece_bpe_32k.model")).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
+    """Token ids of each document of the mix, the md5 of the text decoded from them, and whether that is the text itself.
+    Null texts count as empty; empty texts have no ids; repeated rows are encoded each; empty input gives no rows."""
+    rows = encode_documents(docs.select("doc_id", "source", "text"), tokenizer("piece_bpe_32k.model"), decoded_col="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.md5("decoded").alias("decoded_md5"), same.alias("round_trip"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_dedup), ("mixing", mix), ("SentencePiece", encode)]
