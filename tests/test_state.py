@@ -3,13 +3,14 @@
 import datetime as dt
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
-from tidemark.operators import assessment, news_state as ns, strategy
+from tidemark.operators import assessment, methodology, news_state as ns, strategy
 from tidemark.plans import knowledge, state
 
 SF = "/root/testdata/sf0.001"
@@ -97,7 +98,7 @@ def test_strategy_report(spark):
     assert got["profit_factor"] == pytest.approx(2.0) and got["expectancy"] == pytest.approx(0.01 / 3)
 
 
-@pytest.mark.parametrize("name", ["event_axes", "nearest_prior", "research_modes", "change_diff", "governance_apply", "predict_for_security", "placebo_pool", "family_screen"])
+@pytest.mark.parametrize("name", ["event_axes", "nearest_prior", "research_modes", "change_diff", "governance_apply", "predict_for_security", "placebo_pool", "family_screen", "concept_tagging", "concept_links", "methodologies_for_concept", "concept_coverage"])
 def test_query_gives_what_its_sql_gives(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
@@ -108,3 +109,17 @@ def test_query_gives_what_its_sql_gives(spark, name):
     tidy = lambda rows: sorted(repr(tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r)) for r in rows)
     assert tidy(tuple(r[c] for c in cols) for r in df.collect()) == tidy(want)
     assert name in state.QUERIES or name in knowledge.QUERIES
+
+
+def test_concepts_of_methodologies(spark):
+    texts = ["Buy breakouts above resistance on heavy volume, with a stop-loss.", "A 20/50/200 stack in stage 2; VWAP matters.", "He clears the prior high: gap up!", "Unsupported momentums of orbits.", "", None, "Risk one percent; weekly confirmation, news driven. Momentum."]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, texts[0]])], "source_id int, body string, concept string")
+    want = []
+    for i, t in enumerate([*texts, texts[0]]):
+        claims = [(i, c, found[0]) for c, ps in methodology.CONCEPT_PHRASES.items() if (found := [p for p in ps if re.search(rf"\b{p}\b", (t or "").lower())])]
+        want += claims or [(i, None, None)]
+    claims = methodology.concept_claims(docs)
+    assert sorted(map(repr, (tuple(r) for r in claims.select("source_id", "concept", "phrase").collect()))) == sorted(map(repr, want))
+    links = methodology.concept_links(claims)
+    assert {r[0] for r in methodology.methodologies_for_concept(docs.drop("concept"), links, "BREAKOUT").select("source_id").collect()} == {0, 2, 7}
+    assert len(methodology.CONCEPT_PHRASES) == 20 and methodology.concept_claims(docs.limit(0)).count() == 0

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.operators import asof, hypotheses as hyp, ledger as led, strategy, technical
+from tidemark.operators import asof, hypotheses as hyp, ledger as led, methodology, strategy, technical
 from tidemark.plans import followup, market, news, study
 from tidemark.plans.market import Query, take
-from tidemark.plans.sql import pick
+from tidemark.plans.sql import pick, sql
 from tidemark.shared import stored
 from tidemark.sources import filings
 
@@ -20,6 +20,8 @@ OBSERVED, LOGGED = (5, 20), (1, 7, 29, 88)
 FROM, UNTIL, CUT = "1995-01-01", "1997-01-01", "1998-01-01"
 SIMILAR, RISK, PLACEBOS, SEED, MOST_SETUPS = 1, 0.01, 40, 20240601, 40
 CONCEPTS = (*followup.CONCEPTS.values(), "momentum", "liquidity")
+#: Phrases for the invented prose of the tables, which holds none of the real ones.
+PHRASES = {"TREND": ("and the", "of the"), "VOLUME": ("with by", "on the", "by this"), "GAPS": ("is (?:a|an)", "and threea?"), "VWAP": ("vwap",)}
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,15 @@ def active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(held, [*study.KEYS], "left_semi").where("horizon_days = 20 and event_type = '2-HIGH'")
 
 
+def concept_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methodology.concept_claims(views.documents(spark, sf_dir), PHRASES)
+
+
+def concept_methodologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked to one concept."""
+    return methodology.methodologies_for_concept(views.documents(spark, sf_dir), methodology.concept_links(concept_claims(spark, sf_dir)), "VOLUME")
+
+
 def concept_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of agents that may use the relationships of one concept only."""
     cases = study.resolved_ledger(spark, sf_dir)
@@ -302,4 +313,19 @@ query("rejected_outcomes", lambda s, d: filings.rejected_outcomes(*outcomes(s, d
 query("latest_state", latest_by_user, "user_id ts event_type ~value", "users_q")
 query("latest_before", latest_before, "entity event_id published_at", "before_q")
 
+_FINDS = "regexp_matches(lower(coalesce(body, '')), '(^|[^a-z0-9_])({})($|[^a-z0-9_])')"
+_CLAIMS = " union all ".join(f"select source_id, '{c}' as concept, case {' '.join(f'when {_FINDS.format(p)} then {chr(39)}{p}{chr(39)}' for p in found)} end as phrase from docs_v" for c, found in PHRASES.items())
+ORACLE_SQL |= {name: sql(final, news.TABLES | {"linked": f"select * from ({_CLAIMS}) where phrase is not null"}) for name, final in {
+    "concept_tagging": "select source_id, concept, phrase from docs_v left join linked using (source_id)",
+    "concept_links": "select source_id, concept, phrase from linked",
+    "methodologies_for_concept": "select source_id, publisher, phrase from docs_v join linked using (source_id) where concept = 'VOLUME'",
+    "concept_coverage": "select concept, count(distinct source_id) as n_sources from docs_v left join linked using (source_id) group by 1",
+}.items()}
+QUERIES |= {
+    "concept_tagging": lambda s, d: concept_claims(s, d).select("source_id", "concept", "phrase"),
+    "concept_links": lambda s, d: methodology.concept_links(concept_claims(s, d)),
+    "methodologies_for_concept": lambda s, d: concept_methodologies(s, d).select("source_id", "publisher", "phrase"),
+    "concept_coverage": lambda s, d: methodology.concept_coverage(concept_claims(s, d)),
+}
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
