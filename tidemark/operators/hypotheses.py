@@ -95,3 +95,12 @@ def revalidated(listed: DataFrame, known: DataFrame, baseline: Column, keys: Seq
     p = F.when(F.col("sd") > 0, student_p(gap / (F.col("sd") / F.sqrt("n")), F.col("n") - 1)).otherwise(F.when(gap == 0, 1.0).otherwise(0.0))
     holds = (F.col("n") >= min_n) & (F.abs(gap) >= min_effect) & (p < alpha)
     return out.withColumn("p", p).withColumn("status", F.when(holds, "ACTIVE").otherwise("RETIRED"))
+
+
+def shadow_evaluation(listed: DataFrame, known: DataFrame, baseline: Column, until: Column, keys: Sequence[str] = (*GROUP, "condition"), started: str = "active_from", time_col: str = "published_at", least: int = 10) -> DataFrame:
+    """Each relationship on probation judged by its cases from its start on and before `until` alone: n of them, their mean
+    and outcome. STILL_IN_SHADOW below `least` cases, none included; else ACTIVE where the effect holds on them, or RETIRED."""
+    fresh = listed.join(known.select(*keys, F.col(started).alias("__from")), [*keys]).where((F.col(time_col) >= F.col("__from")) & (F.col(time_col) < until))
+    judged = revalidated(fresh.drop("__from"), known, baseline, keys).select(*keys, "n", "mean_effect", "status")
+    rows = known.select(*keys, started).join(judged, [*keys], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.withColumn("outcome", F.when(F.col("n") < least, "STILL_IN_SHADOW").otherwise(F.col("status"))).drop("status")

@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 KEYS = (*hyp.GROUP, "condition")
 REPLICATES = 2000
+SHADOW_UNTIL = "1998-06-01"
 MARGINS = (1.0, 2.0, 5.0, 10.0)
 
 
@@ -78,6 +79,12 @@ def support(cases: DataFrame) -> DataFrame:
     return out.withColumn("is_decaying", (n >= 5) & (F.col("contradicted") / F.greatest(n, F.lit(1)) > 0.5))
 
 
+def shadow_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships on the cases since they were confirmed."""
+    cases = resolved_ledger(spark, sf_dir)
+    return hyp.shadow_evaluation(listed(cases), stored(known(cases), "known"), F.lit(0.0), F.lit(SHADOW_UNTIL).cast("timestamp"))
+
+
 def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = resolved_ledger(spark, sf_dir)
     return hyp.revalidated(listed(cases), known(cases), F.lit(0.0))
@@ -140,6 +147,11 @@ TABLES = {
     "again": f"""select *, mean_effect as prior_mean, n as prior_n, sd as prior_sd, mean_effect as gap, atan(abs(mean_effect / (nullif(sd, 0) / sqrt(n))) / sqrt(n - 1)) as theta from (
       select {_ON}, count(realized) as n, avg(realized) as mean_effect, stddev_samp(realized) as sd from listed join (select {_ON} from relations) r using ({_ON}) group by all)""",
     "again_q": f"select {_ON}, n, mean_effect, case when n >= 15 and abs(gap) >= 0.003 and {_P} < 0.05 then 'ACTIVE' else 'RETIRED' end as status from again",
+    "fresh": f"""select *, mean_effect as prior_mean, n as prior_n, sd as prior_sd, mean_effect as gap, atan(abs(mean_effect / (nullif(sd, 0) / sqrt(n))) / sqrt(n - 1)) as theta from (
+      select {_ON}, count(realized) as n, avg(realized) as mean_effect, stddev_samp(realized) as sd from listed join (select {_ON}, active_from from relations) r using ({_ON})
+      where published_at >= active_from and published_at < timestamp '{SHADOW_UNTIL}' group by all)""",
+    "shadow_q": f"""select {_ON}, active_from, coalesce(n, 0) as n, mean_effect, case when coalesce(n, 0) < 10 then 'STILL_IN_SHADOW' when n >= 15 and abs(gap) >= 0.003 and {_P} < 0.05 then 'ACTIVE' else 'RETIRED' end as outcome
+      from (select {_ON}, active_from from relations) r left join fresh using ({_ON})""",
     "paths": """select d.event_id, d.horizon_days, case when predicted_impact > 0 then 'LONG' else 'SHORT' end as action, -2 * predicted_impact as level, b.ts, b.high, b.low, b.close,
       row_number() over (partition by d.event_id, d.horizon_days order by b.ts) - 1 as i, first_value(b.close) over (partition by d.event_id, d.horizon_days order by b.ts) as entry_price
       from deduped d join bars b on d.entity = b.entity and b.ts between d.published_at and d.published_at + to_days(d.horizon_days) where outcome_status = 'OK' and predicted_impact <> 0""",
@@ -163,6 +175,7 @@ query("applicable_relationships", lambda s, d: matches(resolved_ledger(s, d)), "
 query("adaptive_predict", lambda s, d: adaptive(resolved_ledger(s, d)), "event_id horizon_days condition ~predicted_impact predicted_confidence basis", "adapted")
 query("agent_variants", lambda s, d: agents(resolved_ledger(s, d)), "agent horizon_days n ~mae", "agents_q")
 query("support_counts", lambda s, d: support(resolved_ledger(s, d)), "event_type direction horizon_days condition supported contradicted is_decaying", "support_q")
+query("shadow_evaluation", shadow_evaluation, "event_type direction horizon_days condition active_from n ~mean_effect outcome", "shadow_q")
 query("revalidation", revalidation, "event_type direction horizon_days condition n ~mean_effect status", "again_q")
 query("trade_path", lambda s, d: priced_trades(s, d).groupBy("event_id", "horizon_days").agg(F.count(F.lit(1)).alias("n_bars"), F.min("close").alias("lowest"), F.max("close").alias("highest")), "event_id horizon_days n_bars ~lowest ~highest", "path_q")
 query("trade_outcome", outcomes, "event_id horizon_days action ~entry_price ~exit_price ~realized_return ~mfe ~mae invalidation_day holding_days", "outcomes_q")
