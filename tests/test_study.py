@@ -149,3 +149,16 @@ def test_permutation_against_numpy(spark):
     draws = np.array([rng.choice(x, 60, replace=False).mean() for _ in range(6000)])
     want = (np.abs(draws - x.mean()) >= abs(x[picked].mean() - x.mean())).mean()
     assert one.n == 60 and abs(one.p - want) < 5 * np.sqrt(want * (1 - want) / 2000) + 0.005
+
+
+def test_shadow_evaluation(spark):
+    def cases(condition, n, day, value):
+        return [("t", "up", 5, condition, dt.datetime(2024, 3, day), value + 0.0001 * (i % 3)) for i in range(n)]
+
+    rows = cases("few", 9, 10, 0.02) + cases("some", 12, 10, 0.02) + cases("holds", 20, 1, 0.02) + cases("turned", 20, 10, 0.0) + cases("old", 30, 1, 0.02) + cases("late", 30, 20, 0.02)
+    listed = spark.createDataFrame(rows, "event_type string, direction string, horizon_days int, condition string, published_at timestamp, realized double")
+    start = {"few": 1, "some": 1, "holds": 1, "turned": 1, "old": 2, "late": 1, "none": 1}
+    known = spark.createDataFrame([("t", "up", 5, c, dt.datetime(2024, 3, d)) for c, d in start.items()], "event_type string, direction string, horizon_days int, condition string, active_from timestamp")
+    got = {r["condition"]: (r["n"], r["outcome"]) for r in hyp.shadow_evaluation(listed, known, F.lit(0.0), F.lit("2024-03-20").cast("timestamp")).collect()}
+    wait = (0, "STILL_IN_SHADOW")
+    assert got == {"few": (9, "STILL_IN_SHADOW"), "some": (12, "RETIRED"), "holds": (20, "ACTIVE"), "turned": (20, "RETIRED"), "old": wait, "late": wait, "none": wait}
