@@ -18,6 +18,7 @@ from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sentencepiece_codec import round_trips
 from tidemark.llm.suffix_dedup import repeated_passages
 from tidemark.llm.token_orc import tokens_of
+from tidemark.llm.turn_repair import damage, repair_conversations, repair_digests
 
 
 def tokenizer(name: str) -> str:
@@ -70,7 +71,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media)}
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair_digests(repair_conversations(damage(rows), lost_col="lost"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media, op13_turn_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
@@ -103,4 +109,58 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(safe) + case when merged then 8 else 8 + length(role) + 8 + 7 end)::bigint as formatted_chars
 from escaped group by conv_id""",
+    "op13_turn_repair": r"""
+with recursive
+crc as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, step: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+drawn as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as draw
+  from conversations, crc),
+damaged as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case draw when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when draw = 3 then [0, 1] else [0] end) as copy
+  from drawn where draw <> 0),
+judged as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen
+  from damaged),
+turns as (
+  select *, case when bare = '' then 'blank' when seen then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    left(role, 1) as first, lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from judged),
+steps(p, c, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserted(p, q, cost, audit, said) as (values (0, 0, 0, '', []::varchar[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']),
+  (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 3, 3, 'I', ['assistant:']), (3, 2, 3, 'I', ['user:'])),
+edits as (
+  select conv_id, i, s.p, s.p as q, 4 as cost, 'D' as audit, []::varchar[] as said from turns, (values (0), (1), (2), (3)) as s(p)
+  union all
+  select conv_id, i, p, q, 3 * (fault = 'truncated')::int, 'K', [role || ':' || text] from turns join steps on first = c where fault not in ('blank', 'duplicate')
+  union all
+  select conv_id, i, p, q, 3 + 3 * (fault = 'truncated')::int, 'R', [case c when 'u' then 'user:' else 'assistant:' end || text] from turns, steps where c <> 's' and fault not in ('blank', 'duplicate')),
+moves as (
+  select conv_id, e.i, e.p, n.q, e.cost + n.cost as cost, e.audit || n.audit as audit, list_concat(e.said, n.said) as said
+  from edits e join inserted n on e.q = n.p),
+best(conv_id, i, p, cost, audit, said) as (
+  select c.conv_id, 0::bigint, n.q, n.cost, n.audit, n.said from (select distinct conv_id from turns) c, inserted n where n.p = 0
+  union all
+  (select b.conv_id, m.i, m.q, b.cost + m.cost, b.audit || m.audit, list_concat(b.said, m.said)
+   from best b join moves m on b.conv_id is not distinct from m.conv_id and m.i = b.i + 1 and m.p = b.p
+   qualify row_number() over (partition by b.conv_id, m.q order by b.cost + m.cost, b.audit || m.audit) = 1)),
+counted as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before || first not in ('su', 'ua', 'au')) as illegal
+  from turns group by conv_id),
+fixed as (
+  select b.conv_id, b.cost, b.audit, b.said from best b join counted c on b.conv_id is not distinct from c.conv_id and b.i = c.n
+  where b.p in (0, 3) qualify row_number() over (partition by b.conv_id order by b.cost, b.audit) = 1)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(f.cost, 0)::bigint as cost, coalesce(f.audit, '') as audit, sha256(coalesce(array_to_string(f.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a
+left join counted c on a.conv_id is not distinct from c.conv_id left join fixed f on a.conv_id is not distinct from f.conv_id""",
 }
