@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat_format import chat_digests, format_chats
 from tidemark.llm.common import documents
+from tidemark.llm.importance import importance_resample
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.line_dedup import kept_text, line_dedup
 from tidemark.llm.media import media_columns
@@ -71,12 +72,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return repair_digests(repair_conversations(damage(rows), lost_col="lost"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media, op13_turn_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media, op12_importance, op13_turn_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
@@ -109,6 +114,35 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(safe) + case when merged then 8 else 8 + length(role) + 8 + 7 end)::bigint as formatted_chars
 from escaped group by conv_id""",
+    "op12_importance": r"""
+with crc as materialized (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, step: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+texts as (
+  select 's' as side, row_number() over () as id, doc_id, coalesce(text, '') as text from documents
+  union all select 't', row_number() over (), null, coalesce(text, '') from benchmark),
+cut as materialized (
+  select side, id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') as w from texts),
+grams as materialized (
+  select side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+    || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from cut),
+hashed as materialized (
+  select gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: (position(x[i] in '0123456789ABCDEF') - 1) * 16 + position(x[i + 1] in '0123456789ABCDEF') - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from (select gram, hex(encode(gram)) as x from (select distinct gram from grams)), crc),
+found as materialized (select side, id, bucket, count(*) as n from grams join hashed using (gram) group by all),
+sums as (select bucket, coalesce(sum(n) filter (side = 's'), 0) as s, coalesce(sum(n) filter (side = 't'), 0) as t from found group by bucket),
+gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * (all_s + 10000) / ((s + 1)::double * (all_t + 10000))))::bigint as gain
+  from sums, (select sum(s) as all_s, sum(t) as all_t from sums)),
+weights as (select id, sum(n * gain)::bigint as weight from found join gains using (bucket) where side = 's' group by id),
+scored as (
+  select doc_id, len(w) as n, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from cut left join weights using (id) where side = 's'),
+placed as (
+  select *, row_number() over (partition by n >= 20 order by score desc, doc_id nulls last) as place, 5 * count(*) filter (n >= 20) over () // 100 as most from scored)
+select doc_id, n_features::bigint as n_features, weight, score, case when n >= 20 and place <= most then place end as rank from placed""",
     "op13_turn_repair": r"""
 with recursive
 crc as (
