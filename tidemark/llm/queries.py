@@ -15,6 +15,7 @@ from tidemark.llm.line_dedup import kept_text, line_dedup
 from tidemark.llm.media import media_columns
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mix import mix_sources
+from tidemark.llm.prefix_forest import nearest
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sentencepiece_codec import round_trips
 from tidemark.llm.suffix_dedup import repeated_passages
@@ -72,6 +73,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -81,7 +87,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(repair_conversations(damage(rows), lost_col="lost"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media, op12_importance, op13_turn_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_mix, op4_token_orc, op5_line_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op9_sentencepiece, op10_media, op11_prefix_forest, op12_importance, op13_turn_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
@@ -114,6 +120,15 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(safe) + case when merged then 8 else 8 + length(role) + 8 + 7 end)::bigint as formatted_chars
 from escaped group by conv_id""",
+    "op11_prefix_forest": r"""
+with valid as (
+  select distinct vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+met as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score
+  from valid q join valid c on len(q.e) = len(c.e) and q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from met qualify rank <= 20""",
     "op12_importance": r"""
 with crc as materialized (
   select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
