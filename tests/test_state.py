@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
-from tidemark.operators import assessment, methodology, news_state as ns, strategy
+from tidemark.operators import assessment, identity, methodology, news_state as ns, strategy
 from tidemark.plans import knowledge, state
 
 SF = "/root/testdata/sf0.001"
@@ -43,7 +43,7 @@ def test_aliases(spark):
 
 def test_implications_and_axes(spark):
     rows = event(spark, ("revenue grew 30 percent", "POSITIVE", "FACT", 1, None, 0), ("revenue fell", "NEGATIVE", "SPECULATION", 2, 1, 0), ("layoffs to cut costs", "NEGATIVE", "REPORTING", 3, None, 0), ("nothing", "NEUTRAL", "FACT", 4, None, 9))
-    clustered = ns.event_clusters(rows)
+    clustered = identity.event_instances(rows, tie="source_id")
     axes = {r["axis"]: (r["mean"], r["dispersion"], r["basis"]) for r in ns.event_axes(ns.implications(clustered, AREAS)).collect()}
     mean = (1.0 - 0.5 * 0.4) / 1.4
     spread = (1.0 * (1 - mean) ** 2 + 0.4 * (-0.5 - mean) ** 2) / 1.4
@@ -56,7 +56,7 @@ def test_implications_and_axes(spark):
 
 
 def test_no_events(spark):
-    none = ns.event_clusters(event(spark).limit(0))
+    none = identity.event_instances(event(spark).limit(0), tie="source_id")
     vectors, axes = ns.event_vectors(none, AREAS), ns.event_axes(ns.implications(none, AREAS))
     assert ns.company_state(vectors, F.lit(DAY)).count() == 0 and ns.company_axes(vectors, axes, F.lit(DAY)).count() == 0
     assert ns.novelty(ns.profiles(vectors, axes)).count() == 0
@@ -64,7 +64,7 @@ def test_no_events(spark):
 
 def test_novelty_needs_three_before(spark):
     rows = event(spark, *[("revenue grew", "POSITIVE", "FACT", i, None, 10 * i) for i in range(4)], ("revenue fell", "NEGATIVE", "FACT", 9, None, 50))
-    clustered = ns.event_clusters(rows)
+    clustered = identity.event_instances(rows, tie="source_id")
     got = {r["cluster"]: (r["priors"], r["novelty"]) for r in ns.novelty(ns.profiles(ns.event_vectors(clustered, AREAS), ns.event_axes(ns.implications(clustered, AREAS)))).collect()}
     assert got == {1: (0, None), 2: (1, None), 3: (2, None), 4: (3, 0.0), 5: (4, 1.0)}
 

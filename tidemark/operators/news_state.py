@@ -128,15 +128,18 @@ def implications(events: DataFrame, areas: Mapping[str, Sequence[str]]) -> DataF
     return rows.select(*events.columns, "areas", "weight", F.inline(F.array_compact(F.array(*hits, saving))))
 
 
-def event_clusters(events: DataFrame, keys: Sequence[str] = CLUSTER[:3], days: int = 4) -> DataFrame:
-    """events with cluster, from 1 in time: a new one where no event of the same keys stands in the `days` before. Gaps are
-    looked for over distinct times, so a story that everybody tells is a few rows."""
-    times = events.select(*keys, "published_at").distinct()
-    by = Window.partitionBy(*keys).orderBy("published_at")
-    gap = F.col("published_at").cast("long") - F.lag("published_at").over(by).cast("long")
-    marked = times.withColumn("__new", F.when(gap.isNull() | (gap > days * 86400), 1).otherwise(0))
-    marked = marked.withColumn("cluster", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-    return same_keys(events, marked, (*keys, "published_at"))
+def attributable_events(events: DataFrame, aliases: Column | None = None) -> DataFrame:
+    """The events whose clause is about their own company, or about a party or a unit of it: those about a competitor or
+    the industry go before anything is gathered. Null clauses stay."""
+    names = F.array().cast("array<string>") if aliases is None else aliases
+    return events.where(F.coalesce(attribution(F.col("clause"), F.col("entity"), names)["attributable"], F.lit(True)))
+
+
+def excluded_by_role(events: DataFrame, aliases: Column | None = None) -> DataFrame:
+    """(entity, role, n): how many events of a company are about somebody else."""
+    names = F.array().cast("array<string>") if aliases is None else aliases
+    found = events.select("entity", attribution(F.col("clause"), F.col("entity"), names).alias("found"))
+    return found.where(~F.col("found.attributable")).groupBy("entity", F.col("found.role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def event_axes(implied: DataFrame, keys: Sequence[str] = CLUSTER) -> DataFrame:

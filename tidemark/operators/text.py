@@ -33,11 +33,11 @@ def title_key(title: Column) -> Column:
 def dedupe_documents(docs: DataFrame) -> DataFrame:
     """docs with title_key and duplicate_of: the most trusted, then earliest, then least document of the same story; null
     for that document itself. Documents of one title key or one fingerprint are one story, and what these join; without a
-    title the fingerprint alone counts. Partial minima and joins, so a title that very many share is no hot window; only
+    title the fingerprint alone counts, without a column `body` the title alone. Partial minima and joins, so a title that very many share is no hot window; only
     title keys that share a fingerprint with another are looked at as a graph."""
     rank = F.array_position(F.array(*[F.lit(r) for r in RELIABILITY]), F.col("reliability"))
     rank = F.when(rank > 0, rank).otherwise(len(RELIABILITY) + 1)
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")) if "body" in docs.columns else F.when(F.col("title").isNull(), F.col("source_id").cast("string")).otherwise("")
     keyed = docs.withColumns({"title_key": title_key(F.col("title")), "__fingerprint": fingerprint(title, body)})
     keyed = keyed.withColumn("__story", F.coalesce("title_key", F.concat(F.lit("#"), "__fingerprint")))
     pairs = keyed.select("__fingerprint", "__story").distinct()

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.operators import fundamentals as fun, research, text
+from tidemark.operators import fundamentals as fun, identity, research, text
 from tidemark.plans import news
 from tidemark.plans.market import Query, take
 from tidemark.plans.sql import pick
+from tidemark.shared import stored
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +39,27 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "clause_index", "found.*", research.clause_score(F.col("found"), F.col("sentiment")).alias("signed_score"))
 
 
+def figured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline's events, told on days by their place in the document, each with a figure made of its document's and
+    its own number: powers of three, so that those next to each other diverge."""
+    n = F.col("source_id") + F.col("clause_index")
+    unit = F.when(n % 97 == 0, "USD").when(n % 89 != 0, "PERCENT")
+    value = F.when(unit.isNotNull(), F.pow(F.lit(3.0), n % 7) * (1 + (n % 3) / 10) * F.when(n % 11 == 0, -1).otherwise(1))
+    at = F.col("published_at") + F.make_dt_interval((F.col("clause_index") % 9).cast("int"))
+    return timeline(spark, sf_dir).withColumns({"published_at": at, "unit": unit, "value": value})
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.event_instances(figured_events(spark, sf_dir), unit=F.col("unit"), value=F.col("value"))
+
+
+def linked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cells (day, unit, band of sizes) of which some events are linked, with the topic's names."""
+    celled = stored(identity.cells(figured_events(spark, sf_dir), identity.TOPIC, F.col("unit"), F.col("value")), "celled")
+    names = celled.select("topic", *identity.TOPIC).distinct()
+    return identity.links(celled).join(names, "topic").drop("topic")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly and half-yearly sums of each brand's lines, as reported figures."""
     lines = views.table(spark, sf_dir, "lineitem").join(views.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("entity")), F.col("l_partkey") == F.col("p_partkey"))
@@ -74,7 +96,32 @@ def _anchored(x: str, unit: str) -> str:
     return "case " + " ".join(f"when {x} <= {b} then {y} + {z - y} * ({x} - {a}) / {b - a}" for (a, y), (b, z) in zip(points, points[1:])) + f" else {points[-1][1]} end"
 
 
-TABLES = news.TABLES | {
+def occurrences(s: str, of: str, days: int) -> dict[str, str]:
+    """Tables up to occ{s}: the rows of a table with unit and value, and the number of each one's occurrence in its topic.
+    All pairs of different days and sizes of a topic are looked at; labels spread in rounds, each with a jump."""
+    cell = "concat_ws('|', entity, event_type, coalesce('=' || area, '-'), published_at::date, case when value is not null then unit end, case when unit is not null then value end)"
+    tables = {
+        f"cell{s}": f"select distinct {cell} as id, entity, event_type, area, published_at::date as day, case when value is not null then unit end as unit, case when unit is not null then value end as value from {of}",
+        f"edge{s}": f"""select a.id, b.id as other from cell{s} a join cell{s} b on a.entity = b.entity and a.event_type = b.event_type and a.area is not distinct from b.area and abs(a.day - b.day) <= {days}
+          and not coalesce(a.unit = b.unit and abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 1e-9) > 0.5, false)""",
+        f"round{s}_0": f"select id, id as label from cell{s}",
+    }
+    for i in range(8):
+        tables[f"near{s}_{i}"] = f"select e.id, min(r.label) as label from edge{s} e join round{s}_{i} r on e.other = r.id group by 1"
+        tables[f"round{s}_{i + 1}"] = f"select a.id, least(a.label, b.label) as label from near{s}_{i} a join near{s}_{i} b on a.label = b.id"
+    tables[f"first{s}"] = f"select label, entity, event_type, area, min(row(published_at, event_id)) as first from {of} t join round{s}_8 r on {cell} = r.id group by 1, 2, 3, 4"
+    tables[f"count{s}"] = f"select label, row_number() over (partition by entity, event_type, area order by first) as cluster from first{s}"
+    tables[f"occ{s}"] = f"select t.*, c.cluster from {of} t join round{s}_8 r on {cell} = r.id join count{s} c on r.label = c.label"
+    return tables
+
+
+_BAND = "case when value is null or value = 0 then 0 else sign(value)::int * (floor(log2(abs(value)))::int + 1100) end"
+TABLES = news.TABLES | occurrences("_f", "figured_q", 4) | {
+    "figured_q": """select * exclude (published_at, k), published_at + to_days((clause_index % 9)::int) as published_at, case when k % 97 = 0 then 'USD' when k % 89 <> 0 then 'PERCENT' end as unit,
+      case when k % 97 = 0 or k % 89 <> 0 then pow(3, k % 7) * (1 + (k % 3) / 10e0) * case when k % 11 = 0 then -1 else 1 end end as value from (select *, source_id + clause_index as k from timeline_q)""",
+    "banded": f"select *, coalesce(unit, '') as unit_of, {_BAND} as band from cell_f",
+    "linked_q": """select distinct a.entity, a.event_type, a.area, a.day, a.unit_of, case when a.unit_of = b.unit_of then a.band end as band, b.day as other_day, b.unit_of as other_unit, case when a.unit_of = b.unit_of then b.band end as other_band
+      from edge_f e join banded a on e.id = a.id join banded b on e.other = b.id where a.day < b.day or (a.day = b.day and (a.unit_of < b.unit_of or (a.unit_of = b.unit_of and a.band < b.band)))""",
     "all_parts": r"""select *, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(body, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)),
       lambda s: string_split(regexp_replace(regexp_replace(s, '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), '(^|[^A-Za-z0-9_])([aA][sS])($|[^A-Za-z0-9_])', '\1' || chr(2) || '\3', 'g'), chr(2)))), lambda c: trim(c, ' ,.;:')), lambda c: c <> '') as cs from docs_d""",
     "every_clause": "select * exclude (cs), unnest(cs) as clause, generate_subscripts(cs, 1) - 1 as clause_index from all_parts",
@@ -121,6 +168,8 @@ def query(name: str, make: Query, columns: str, table: str, where: str = "") ->
 query("timeline_events", timeline, "event_id source_id clause_index entity event_type area sentiment evidence_type confidence materiality", "timeline_q")
 query("narratives", narratives, "entity event_type area sentiment supporting contradicting first_observed latest_update source_count independent_sources source_quality confidence trend", "narratives_q")
 query("contradiction_pairs", lambda s, d: research.contradictions(narratives(s, d)), "entity event_type area side_a side_b", "narratives_q", "side_a is not null and side_b is not null")
+query("event_instances", instances, "event_id entity event_type area cluster", "occ_f")
+query("pairwise_clauses", linked_cells, "entity event_type area day unit_of band other_day other_unit other_band", "linked_q")
 query("magnitude", sized, "source_id clause_index unit ~value ~score ~signed_score", "magnitude_q")
 query("fundamental_series", figures, "entity concept tag start end ~val", "series_q")
 query("fundamental_facts", lambda s, d: fun.latest(figures(s, d)), "entity concept end ~val", "latest_q")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.operators import assessment as assess, fundamentals as fun, news_state as ns, research
+from tidemark.operators import assessment as assess, fundamentals as fun, identity, news_state as ns, research
 from tidemark.plans import news, reports
 from tidemark.plans.market import Query, take
 from tidemark.plans.sql import pick
@@ -25,8 +25,13 @@ def now(day: str = reports.NOW):
     return F.lit(day).cast("timestamp")
 
 
+def own_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ns.attributable_events(reports.timeline(spark, sf_dir), F.array("publisher"))
+
+
 def clustered(spark: SparkSession, sf_dir: str, days: int = 4) -> DataFrame:
-    return stored(ns.event_clusters(stored(reports.timeline(spark, sf_dir), "timeline"), days=days), "clustered")
+    """Events about their own company, with the number of their occurrence."""
+    return stored(identity.event_instances(stored(own_events(spark, sf_dir), "timeline"), days=days), "clustered")
 
 
 def built(spark: SparkSession, sf_dir: str, days: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -159,8 +164,8 @@ def _chain(s: str, days: int) -> dict[str, str]:
     """Events to vectors, with clusters of at most `days` between events."""
     weigh = "pow(0.5, greatest(epoch({} - as_of) / 86400, 0) / 7e0) * materiality * (0.3 + 0.7e0 * confirmation)"
     return {
-        f"clustered{s}": f"""select * exclude (fresh), sum(fresh) over (partition by entity, event_type, area order by published_at, event_id rows unbounded preceding)::bigint as cluster from (
-          select *, case when coalesce(published_at - lag(published_at) over (partition by entity, event_type, area order by published_at, event_id) > interval {days} days, true) then 1 else 0 end as fresh from timeline_q)""",
+        **reports.occurrences(s, "measured_q", days),
+        f"clustered{s}": f"select * exclude (unit, value, pct, bps, usd) from occ{s}",
         f"read{s}": reports.TABLES["found"].replace("(said", "(clause").replace("from figured", f"from clustered{s}"),
         f"weighed{s}": f"""select *, coalesce(case when value < 0 then -1e0 else way end * score, way * 0.5e0) as cs, {_AREAS} as areas, {_case('evidence_type', ns.MODALITY, '1e0')} as weight from (select *,
           case sentiment when 'POSITIVE' then 1e0 when 'NEGATIVE' then -1e0 end as way, coalesce(pct, bps, usd) as value, round(case when pct is not null then {reports._anchored('abs(pct)', 'PERCENT')} when bps is not null then {reports._anchored('abs(bps)', 'BPS')} end, 2)::double as score from read{s})""",
@@ -179,7 +184,10 @@ def _chain(s: str, days: int) -> dict[str, str]:
     }
 
 
-TABLES = reports.TABLES | _chain("_v", 4) | _chain("_d", 0) | {
+TABLES = reports.TABLES | {
+    "own_q": "select t.* from timeline_q t join roles_q r using (source_id, clause_index) where r.attributable",
+    "measured_q": "select *, case when pct is not null then 'PERCENT' when bps is not null then 'BPS' when usd is not null then 'USD' end as unit, coalesce(pct, bps, usd) as value from (" + reports.TABLES["found"].replace("(said", "(clause").replace("from figured", "from own_q") + ")",
+} | _chain("_v", 4) | _chain("_d", 0) | {
     "items_q": "select * from (select event_id, case " + " ".join(f"when regexp_matches(said, '{'|'.join(p)}') then '{kind}|{way}'" for p, kind, way in ns.ITEM_RULES) + f""" end as hit from (
       select event_id, lower(entity || ' ' || {list(HEADLINES)}[event_id % {len(HEADLINES)} + 1]) as said from ev)) where hit is not null""",
     "names_q": f"""select s_suppkey, name, case when short = name or short = '' then name else name || '|' || short end as aliases from (select *, trim(regexp_replace(name, '(?i) ({'|'.join(ns.NAME_SUFFIXES)})$', '')) as short from (
