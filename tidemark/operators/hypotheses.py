@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ledger import holm, student_p
+from tidemark.operators.scan import known_before
 
 CONTEXT = ("regime", "prior_return_bucket", "vol_bucket")
 GROUP = ("event_type", "direction", "horizon_days")
@@ -44,10 +45,9 @@ def conditions(rows: DataFrame, values: Column, arity: int = 3, pool: int = 6, e
 
 
 def prior_statistics(listed: DataFrame, keys: Sequence[str] = (*GROUP, "condition"), value: str = "realized", time_col: str = "published_at") -> DataFrame:
-    """listed with prior_n, prior_mean and prior_sd over rows under the same keys strictly before each row. Running sums
-    over time: the pairs of hypothesis and case are never made."""
-    by = Window.partitionBy(*keys).orderBy(F.col(time_col).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    return listed.withColumns({"prior_n": F.count(value).over(by), "prior_mean": F.avg(value).over(by), "prior_sd": F.stddev_samp(value).over(by)})
+    """listed with prior_n, prior_mean and prior_sd over rows under the same keys strictly before each row. Sums by time,
+    then over times: the pairs of hypothesis and case are never made, and a condition that most cases meet is no hot task."""
+    return known_before(listed, listed, list(keys), time_col, value)
 
 
 def hypothesis_tests(listed: DataFrame, baseline: Column, batch: Sequence[str], min_n: int = 15, min_effect: float = 0.003, alpha: float = 0.05) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import ranked, running, value_ranks
+
 #: What a score counts as a move, and its chance of being right by confidence.
 MOVE = 0.005
 CONFIDENCE = {"HIGH": 0.80, "MEDIUM": 0.65, "LOW": 0.55}
@@ -95,12 +97,24 @@ def one_sample_t(rows: DataFrame, keys: Sequence[str], value: str, baseline: Col
 
 
 def holm(rows: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out: str = "p_holm") -> DataFrame:
-    """rows with the Holm step-down p within each family; null p values take no part."""
-    ranked = Window.partitionBy(*family, F.col(p).isNull()).orderBy(p, *tie)
+    """rows with the Holm step-down p within each family; null p values take no part. For families of a known bound, such
+    as the conditions of one batch; `holm_wide` does the same over families of any size."""
+    ranks = Window.partitionBy(*family, F.col(p).isNull()).orderBy(p, *tie)
     size = F.count(p).over(Window.partitionBy(*family))
-    raw = (size - F.row_number().over(ranked) + 1) * F.col(p)
+    raw = (size - F.row_number().over(ranks) + 1) * F.col(p)
     steps = rows.withColumn("__raw", raw)
-    return steps.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("__raw").over(ranked.rowsBetween(Window.unboundedPreceding, 0))))).drop("__raw")
+    return steps.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("__raw").over(ranks.rowsBetween(Window.unboundedPreceding, 0))))).drop("__raw")
+
+
+def holm_wide(rows: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out: str = "p_holm") -> DataFrame:
+    """`holm` by ranges of p: places and running maxima are put together from those of the ranges. Null p come last."""
+    sizes = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(family)]).agg(F.count(p).alias("__size"))
+    match = F.lit(True)
+    for i, k in enumerate(family):
+        match = match & rows[k].eqNullSafe(sizes[f"__k{i}"])
+    sized = rows.join(sizes, match).drop(*[f"__k{i}" for i in range(len(family))])
+    steps = running(sized, list(family), [F.col(p).asc_nulls_last(), *[F.col(c) for c in tie]], {"__place": F.lit(1)}, {"__top": (F.col("__size") - F.col("__place") + 1) * F.col(p)}, label="holm")
+    return steps.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("__top")))).drop("__place", "__top", "__size")
 
 
 def accuracy_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,13 +123,11 @@ def accuracy_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     p, r = sign(F.col("predicted_impact")), sign(F.col("realized"), MOVE)
     chance = F.coalesce(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("predicted_confidence")], F.lit(0.5))
     error = F.col("predicted_impact") - F.col("realized")
-    ranks = {}
-    for name, col in (("rank_p", "predicted_impact"), ("rank_r", "realized")):
-        order = Window.partitionBy(*keys, usable).orderBy(col)
-        ties = Window.partitionBy(*keys, usable, F.col(col))
-        ranks[name] = F.when(usable, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    rows = rows.withColumn("__r", F.when(usable, F.col("realized")))
+    for name, col in (("rank_p", "predicted_impact"), ("rank_r", "__r")):
+        rows = value_ranks(rows, list(keys), col, name)
     both = usable & (p != 0) & (r != 0)
-    out = rows.withColumns(ranks).groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         F.count(F.when(usable, 1)).alias("n"), F.count(F.when(~usable, 1)).alias("excluded"),
         F.when(F.count(F.when(both, 1)) >= 2, F.avg(F.when(both, (p == r).cast("double")))).alias("direction_accuracy"),
         F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
@@ -126,10 +138,9 @@ def accuracy_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], cost: float = 0.001) -> DataFrame:
     """trades with after_cost, equity (running sum) and drawdown (from the running maximum, at least 0)."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = trades.withColumn("raw_return", sign(F.col("predicted_impact")) * F.col("realized")).withColumn("after_cost", F.col("raw_return") - cost)
-    out = out.withColumn("equity", F.sum("after_cost").over(by))
-    return out.withColumn("drawdown", F.col("equity") - F.greatest(F.lit(0.0), F.max("equity").over(by)))
+    out = running(out, list(keys), [F.col(c) for c in order], {"equity": F.col("after_cost")}, {"__top": F.col("equity")}, label="equity")
+    return out.withColumn("drawdown", F.col("equity") - F.greatest(F.lit(0.0), F.col("__top"))).drop("__top")
 
 
 def portfolio_metrics(trades: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str = "published_at", cost: float = 0.001) -> DataFrame:
@@ -166,9 +177,13 @@ def chrono_segments(rows: DataFrame, time_col: str, key: str, shares: Sequence[t
 
 def temporal_stability(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Means of the first n // 2 rows and of the rest in time, and whether both are on one side of zero."""
-    by = Window.partitionBy(*keys)
-    half = F.row_number().over(by.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(by) / 2)
-    out = rows.withColumn("__first", half).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("__first"), F.col(value))).alias("first_mean"), F.avg(F.when(~F.col("__first"), F.col(value))).alias("second_mean"))
+    placed = ranked(rows, [F.col(c) for c in order], "__place", list(keys), "stability")
+    sizes = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__size"))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & placed[k].eqNullSafe(sizes[f"__k{i}"])
+    first = F.col("__place") <= F.floor(F.col("__size") / 2)
+    out = placed.join(sizes, match).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(first, F.col(value))).alias("first_mean"), F.avg(F.when(~first, F.col(value))).alias("second_mean"))
     return out.withColumn("stable", (F.col("first_mean") > 0) == (F.col("second_mean") > 0))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark import views
 from tidemark.operators import asof, ledger as led, technical
+from tidemark.operators.scan import known_before
 from tidemark.plans.sql import pick, sql
+from tidemark.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +45,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark, sf_dir)
+    # Written once: the baseline and the rows that it is joined to both come from it.
+    rows = stored(ledger(spark, sf_dir), "outcomes")
     return led.static_predict(rows, led.baseline_magnitude(led.outcome_known(rows)))
 
 
@@ -136,16 +139,13 @@ query("similar_cases", lambda s, d: similar_cases(s, d), "event_id horizon_days
 
 
 def similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved cases of the same type, horizon, regime and prior-return bin before each case: counts and means from
-    running sums over time, so that no pairs are made."""
-    rows = full_ledger(spark, sf_dir)
+    """Resolved cases of the same type, horizon, regime and prior-return bin before each case: counts and means from sums
+    by time, so that no pairs are made. The ledger is written once, as it is both what is asked and what is known."""
+    rows = stored(full_ledger(spark, sf_dir), "ledger")
     known = F.when(F.col("outcome_status") == "OK", F.col("realized"))
     keys = ["event_type", "horizon_days", "regime", "prior_return_bucket"]
-    asked = rows.select(*keys, "event_id", F.col("published_at").alias("at"), F.lit(None).cast("double").alias("outcome"), F.lit(0).alias("kind"))
-    seen = rows.select(*keys, "event_id", (F.col("published_at") + F.make_interval(days=F.col("horizon_days"))).alias("at"), known.alias("outcome"), F.lit(1).alias("kind"))
-    by = Window.partitionBy(*keys).orderBy(F.col("at").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    both = asked.unionByName(seen)
-    return both.withColumn("n_cases", F.count("outcome").over(by)).withColumn("mean_realized", F.avg("outcome").over(by)).where("kind = 0")
+    seen = rows.select(*keys, (F.col("published_at") + F.make_interval(days=F.col("horizon_days"))).alias("at"), known.alias("outcome"))
+    return known_before(rows, seen, keys, "published_at", "outcome", "at").withColumnsRenamed({"prior_n": "n_cases", "prior_mean": "mean_realized"})
 
 
 # Segments.
@@ -168,7 +168,7 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("one_sample_t", tested, "event_type direction horizon_days n ~mean_effect ~t ~p status", "tested")
-query("holm", lambda s, d: led.holm(tested(s, d), ["horizon_days"], "p", ["event_type", "direction"]), "event_type direction horizon_days ~p ~p_holm", "corrected")
+query("holm", lambda s, d: led.holm_wide(tested(s, d), ["horizon_days"], "p", ["event_type", "direction"]), "event_type direction horizon_days ~p ~p_holm", "corrected")
 query("accuracy_metrics", lambda s, d: led.accuracy_metrics(resolved(s, d), ["event_type", "horizon_days"]), "event_type horizon_days n ~direction_accuracy ~mae ~rmse ~spearman ~brier", "accuracy_q", {"accuracy_q": """select event_type, horizon_days, count(*) as n, case when count(*) filter (ps <> 0 and rs <> 0) >= 2 then avg((ps = rs)::int) filter (ps <> 0 and rs <> 0) end as direction_accuracy,
     avg(abs(predicted_impact - realized)) as mae, sqrt(avg(pow(predicted_impact - realized, 2))) as rmse, corr(rank_p, rank_r) as spearman, avg(pow(0.65 - (ps = rs)::int, 2)) as brier from ranked group by 1, 2"""})
 query("calibration_by_horizon", lambda s, d: led.accuracy_metrics(resolved(s, d), ["horizon_days"]), "horizon_days n ~direction_accuracy ~mae ~rmse", "calibration_q", {"calibration_q": "select horizon_days, count(*) as n, avg((ps = rs)::int) filter (ps <> 0 and rs <> 0) as direction_accuracy, avg(abs(predicted_impact - realized)) as mae, sqrt(avg(pow(predicted_impact - realized, 2))) as rmse from ranked group by 1"})
@@ -185,7 +185,7 @@ query("rolling_last_n", lambda s, d: led.latest_n(resolved(s, d), ["horizon_days
 query("historical_reaction", lambda s, d: resolved(s, d).groupBy("event_type", "direction", "horizon_days").agg(F.count(F.lit(1)).alias("n"), F.median("realized").alias("median_reaction"), F.avg((F.col("realized") > 0).cast("double")).alias("positive_share")).where("n >= 10"), "event_type direction horizon_days n ~median_reaction ~positive_share", "reaction_q", {"reaction_q": "select event_type, direction, horizon_days, count(*) as n, median(realized) as median_reaction, avg((realized > 0)::int) as positive_share from deduped where outcome_status = 'OK' group by 1, 2, 3 having count(*) >= 10"})
 query("regime_stability", lambda s, d: full_ledger(s, d).where("outcome_status = 'OK'").groupBy("regime", "horizon_days").agg(F.count(F.lit(1)).alias("n"), F.avg(led.sign(F.col("predicted_impact")) * F.col("realized")).alias("expectancy")), "regime horizon_days n ~expectancy", "regime_q", {"regime_q": "select regime, horizon_days, count(*) as n, avg(ps * realized) as expectancy from full_ledger where outcome_status = 'OK' group by 1, 2"})
 query("cost_sensitivity", lambda s, d: resolved(s, d).withColumn("cost", F.explode(F.array(*[F.lit(c) for c in (0.0, 0.001, 0.002, 0.005)]))).groupBy("horizon_days", "cost").agg(F.avg(led.sign(F.col("predicted_impact")) * F.col("realized") - F.col("cost")).alias("expectancy"), F.avg((led.sign(F.col("predicted_impact")) * F.col("realized") > F.col("cost")).cast("double")).alias("win_rate")), "horizon_days ~cost ~expectancy ~win_rate", "cost_q", {"cost_q": "select horizon_days, c::double as cost, avg(ps * realized - c) as expectancy, avg((ps * realized > c)::int) as win_rate from deduped, (values (0.0), (0.001), (0.002), (0.005)) cs(c) where outcome_status = 'OK' group by 1, 2"})
-query("level1_screen", lambda s, d: led.holm(led.one_sample_t(screen(s, d), ["dimension"], "change", min_n=15), [], "p", ["dimension"]), "dimension n ~mean_effect", "level1_q", {"level1_q": "select dimension, count(*) as n, avg(close / prev_close - 1) as mean_effect from interesting join (select entity, ts, close, prev_close from scan) using (entity, ts) where prev_close is not null group by 1"})
+query("level1_screen", lambda s, d: led.holm_wide(led.one_sample_t(screen(s, d), ["dimension"], "change", min_n=15), [], "p", ["dimension"]), "dimension n ~mean_effect", "level1_q", {"level1_q": "select dimension, count(*) as n, avg(close / prev_close - 1) as mean_effect from interesting join (select entity, ts, close, prev_close from scan) using (entity, ts) where prev_close is not null group by 1"})
 
 
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
