@@ -8,7 +8,8 @@ shards, groups of FAN shards, shards. So no window ranks more than about FAN par
 counts blocks one by one: a divisor gives nearly all seats, and only the few quotients next to it are ranked.
 
 A shard's documents stand in an order drawn from the seed, and their words are cut into equal blocks of about `block`. Of a quota, whole rounds
-take every block; the rest are the blocks of the least ranks in a seeded permutation of the shard's blocks. A source that
+take every block; the rest are the blocks with the least of the numbers that all blocks of the shard draw from seed, source
+and shard. A source that
 takes `most` times its size takes every block as many times.
 
 Everything is DataFrame work. A source's documents are spread over shards of about `shard_words` words, so a hot source
@@ -76,11 +77,15 @@ def _beside(parts: DataFrame, above: DataFrame, level: str) -> DataFrame:
     return parts.join(of, parts["source"].eqNullSafe(of["of"]) & (parts[level] == of["up"])).drop("of", "up")
 
 
-def _rank(b: F.Column, n: F.Column, shard: F.Column, seed: int) -> F.Column:
-    """The rank of block b among a shard's n in a permutation drawn from seed and shard: b x a + c modulo n, for a prime
-    a that is no factor of n."""
-    prime = F.when(n % 7919 != 0, F.lit(7919)).otherwise(F.lit(7907))
-    return F.pmod(b * prime + F.pmod(F.xxhash64(shard, F.lit(seed)), n), n)
+def block_draw(source: F.Column, shard: F.Column, block: F.Column, seed: int) -> F.Column:
+    """The number that a block draws: those of the least numbers of a shard are taken."""
+    return F.xxhash64(F.lit(seed), source, shard, block)
+
+
+def last_drawn(source: F.Column, shard: F.Column, n: F.Column, rest: F.Column, seed: int) -> F.Column:
+    """The greatest number that is taken where `rest` of a shard's n blocks are; null where none is."""
+    numbers = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: block_draw(source, shard, b, seed)))
+    return F.when(rest > 0, F.get(numbers, (F.least(rest, n) - 1).cast("int")))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, block: int = 64, shard_words: int = 50_000, seed: int = 17, keep_columns: bool = False) -> DataFrame:
@@ -105,18 +110,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = sainte_lague(_beside(middle, outer, "outer"), ["source", "outer"], "middle", "votes", "blocks").select("source", "middle", F.col("quota").alias("blocks"))
     inner = _beside(shards.select("source", "middle", "shard", "votes", "full"), middle, "middle")
     inner = sainte_lague(inner, ["source", "middle"], "shard", "votes", "blocks")
-    inner = inner.select(F.col("source").alias("of"), F.col("shard").alias("at"), F.col("votes").alias("shard_size"), "quota", "full")
+    has = F.greatest(F.lit(1), F.col("votes"))
+    inner = inner.withColumns({"has": has, "n_blocks": F.greatest(F.lit(1), F.round(has / block)).cast("long")})
+    has, n = F.col("has"), F.col("n_blocks")
+    rounds = F.when(F.col("full"), F.lit(int(most))).otherwise(F.least(F.lit(int(most)), F.floor(F.col("quota") * block / has)))
+    inner = inner.withColumn("rounds", rounds).withColumn("rest", F.when(F.col("rounds") >= int(most), 0).otherwise(F.round((F.col("quota") * block - F.col("rounds") * has) * n / has)).cast("long"))
+    inner = inner.select(F.col("source").alias("of"), F.col("shard").alias("at"), "has", "n_blocks", "rounds", last_drawn(F.col("source"), F.col("shard"), n, F.col("rest"), seed).alias("last"))
     whole = placed.drop("full").join(inner, placed["source"].eqNullSafe(inner["of"]) & (placed["shard"] == inner["at"]))
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    whole = whole.withColumns({"before": before, "has": F.greatest(F.lit(1), F.col("shard_size"))})
-    whole = whole.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("has") / block)).cast("long"))
+    whole = whole.withColumn("before", before)
     has, n = F.col("has"), F.col("n_blocks")
-    rounds = F.when(F.col("full"), F.lit(int(most))).otherwise(F.least(F.lit(int(most)), F.floor(F.col("quota") * block / has)))
-    rest = F.when(rounds >= int(most), 0).otherwise(F.round((F.col("quota") * block - rounds * has) * n / has))
-    # The words of this document in each block that it reaches into, where the block's rank is below the rest.
+    # The words of this document in each block that it reaches into, where that block is drawn.
     first, last = F.floor(F.col("before") * n / has), F.floor((F.col("before") + F.greatest(F.lit(1), F.col("size")) - 1) * n / has)
     words = lambda b: F.least(F.ceil((b + 1) * has / n), F.col("before") + F.col("size")) - F.greatest(F.ceil(b * has / n), F.col("before"))
-    drawn = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(_rank(b, n, F.col("shard"), seed) < rest, words(b)).otherwise(0))
-    taken = rounds * F.col("size") + F.when((rest > 0) & (F.col("size") > 0), drawn).otherwise(0)
+    drawn = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(block_draw(F.col("source"), F.col("shard"), b, seed) <= F.col("last"), words(b)).otherwise(0))
+    taken = F.col("rounds") * F.col("size") + F.when(F.col("last").isNotNull() & (F.col("size") > 0), drawn).otherwise(0)
     return whole.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "digest", *(["row"] if keep_columns else []))
