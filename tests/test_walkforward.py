@@ -113,7 +113,8 @@ def test_static_walk(spark):
     rows = walk.walk_segments(events.withColumn("direction", F.when(F.col("direction") == "up", "positive").otherwise("negative")))
     assert {r["segment"]: r["n"] for r in rows.groupBy("segment").agg(F.count("*").alias("n")).collect()} == {"BURN_IN": 20, "DEVELOPMENT": 63, "FINAL_HOLDOUT": 20}
     outcomes = rows.withColumns({"horizon_days": F.explode(F.array(F.lit(1), F.lit(60))), "outcome_status": F.lit("OK")})
-    size = F.when(F.col("segment") == "BURN_IN", 0.04).otherwise(0.5)  # later outcomes must not reach the baseline
+    # Later outcomes must not reach the baseline.
+    size = F.when(F.col("segment") == "BURN_IN", 0.04).otherwise(0.5)
     outcomes = outcomes.withColumn("realized", F.when(F.col("horizon_days") == 1, size * F.when(F.col("direction") == "positive", 1).otherwise(-1)).otherwise(F.when(F.col("segment") != "BURN_IN", 0.1)))
     outcomes = outcomes.withColumn("outcome_status", F.when(F.col("realized").isNull(), "INSUFFICIENT_DATA").otherwise("OK"))
     walked = walk.walkforward_static(outcomes).collect()

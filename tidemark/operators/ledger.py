@@ -146,7 +146,7 @@ def accuracy_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.when(usable, 1)).alias("n"), F.count(F.when(~usable, 1)).alias("excluded"),
         F.when(F.count(F.when(both, 1)) >= 2, F.avg(F.when(both, (p == r).cast("double")))).alias("direction_accuracy"),
         F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.when((F.count("rank_p") >= 3) & (F.stddev_pop("predicted_impact") > 1e-12) & (F.stddev_pop("realized") > 1e-12), F.corr("rank_p", "rank_r")).alias("spearman"),
+        F.when((F.count("rank_p") >= 3) & (F.stddev_pop("predicted_impact") > 1e-12) & (F.stddev_pop("realized") > 1e-12), F.try_divide(F.covar_pop("rank_p", "rank_r"), F.stddev_pop(F.when(usable, F.col("rank_p"))) * F.stddev_pop(F.when(usable, F.col("rank_r"))))).alias("spearman"),
         F.avg(F.when(usable, F.pow(chance - (p == r).cast("double"), 2))).alias("brier"))
     return out.withColumns({c: F.when(F.col("n") >= 2, F.col(c)) for c in ("direction_accuracy", "mae", "rmse", "spearman", "brier")})
 
