@@ -59,12 +59,13 @@ def again(prefix: str = "") -> list[Column]:
 def judged(sums: DataFrame, baseline: Column, few: str = "INSUFFICIENT_N") -> DataFrame:
     """Rows of n, s, q (number, sum, sum of squares) as tests of their mean against the baseline: n, mean_effect, ci_low,
     ci_high, p and status. Below MIN_N nothing is tested."""
-    n, spread = F.col("n"), F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    sd = F.sqrt(F.when(spread > 1e-12 * F.col("q"), spread).otherwise(0.0) / (n - 1))
+    # Divisors that are zero give null, as do sums of nothing.
+    n, spread = F.col("n"), F.col("q") - F.col("s") * F.col("s") / F.nullif(F.col("n"), F.lit(0))
+    sd = F.sqrt(F.when(spread > 1e-12 * F.col("q"), spread).otherwise(0.0) / F.nullif(F.col("n") - 1, F.lit(0)))
     enough = n >= MIN_N
-    rows = sums.withColumns({"mean_effect": F.when(enough, F.col("s") / n), "__sd": F.when(enough, sd), "__base": baseline})
+    rows = sums.withColumns({"mean_effect": F.when(enough, F.col("s") / F.nullif(n, F.lit(0))), "__sd": F.when(enough, sd), "__base": baseline})
     gap = F.col("mean_effect") - F.col("__base")
-    p = F.when(F.col("__sd") > 0, student_p(gap / (F.col("__sd") / F.sqrt(n)), n - 1)).when(enough, F.when(gap == 0, 1.0).otherwise(0.0))
+    p = F.when(F.col("__sd") > 0, student_p(gap / F.nullif(F.col("__sd") / F.sqrt(n), F.lit(0.0)), F.nullif(n - 1, F.lit(0)))).when(enough, F.when(gap == 0, 1.0).otherwise(0.0))
     half = t_interval(F.col("__sd"), n)
     status = F.when(~F.coalesce(enough, F.lit(False)), few).when(F.abs(gap) < MIN_EFFECT, "REJECTED_ECONOMICALLY_TRIVIAL").when(F.col("p") < ALPHA, "CONFIRMED").otherwise("REJECTED_NOT_SIGNIFICANT")
     rows = rows.withColumns({"p": p, "ci_low": F.col("mean_effect") - half, "ci_high": F.col("mean_effect") + half})

@@ -91,7 +91,7 @@ QUANTILE = ((Z**3 + Z) / 4, (5 * Z**5 + 16 * Z**3 + 3 * Z) / 96, (3 * Z**7 + 19
 
 def t_interval(sd: Column, n: Column) -> Column:
     """Half the width of the 95 % interval of a mean. The quantile of t is within 2e-5 from 10 values on."""
-    df = (n - 1).cast("double")
+    df = F.nullif((n - 1).cast("double"), F.lit(0.0))
     t = F.lit(Z)
     for power, term in enumerate(QUANTILE, 1):
         t = t + term / F.pow(df, power)

@@ -99,7 +99,7 @@ def known_before(asked: DataFrame, seen: DataFrame, keys: list[str], at: str, va
     summed = instants.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in "nsq"})
     summed = summed.join(days, _same(summed, days, names | {"__day": "__of"}))
     n, s, q = (F.col(c) + F.col(f"__d{c}") for c in "nsq")
-    spread = q - s * s / n
-    sd = F.when(n > 1, F.sqrt(F.when(spread > 1e-12 * q, spread).otherwise(0.0) / (n - 1)))
-    known = summed.select(*[F.col(k).alias(m) for k, m in names.items()], F.col(_AT).alias("__of"), n.alias("prior_n"), F.when(n > 0, s / n).alias("prior_mean"), F.when(n > 0, sd).alias("prior_sd"))
+    spread = q - s * s / F.nullif(n, F.lit(0))
+    sd = F.when(n > 1, F.sqrt(F.when(spread > 1e-12 * q, spread).otherwise(0.0) / F.nullif(n - 1, F.lit(0))))
+    known = summed.select(*[F.col(k).alias(m) for k, m in names.items()], F.col(_AT).alias("__of"), n.alias("prior_n"), F.when(n > 0, s / F.nullif(n, F.lit(0))).alias("prior_mean"), F.when(n > 0, sd).alias("prior_sd"))
     return asked.join(known, _same(asked, known, names | {at: "__of"})).select(*[F.col(f"`{c}`") for c in asked.columns], "prior_n", "prior_mean", "prior_sd")

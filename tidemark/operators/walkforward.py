@@ -54,9 +54,9 @@ def burn_in_baseline(outcomes: DataFrame) -> Column:
 def _holds(n: str, s: str, q: str, baseline: Column, least: int) -> Column:
     """Whether the mean of so many values differs from the baseline, by size and by test: the baseline lies outside the
     95 % interval, which is p below 0.05."""
-    count, mean = F.col(n), F.col(s) / F.col(n)
-    spread = F.col(q) - F.col(s) * F.col(s) / count
-    sd = F.sqrt(F.when(spread > 1e-12 * F.col(q), spread).otherwise(0.0) / (count - 1))
+    count = F.nullif(F.col(n), F.lit(0))
+    mean, spread = F.col(s) / count, F.col(q) - F.col(s) * F.col(s) / count
+    sd = F.sqrt(F.when(spread > 1e-12 * F.col(q), spread).otherwise(0.0) / F.nullif(F.col(n) - 1, F.lit(0)))
     gap = F.abs(mean - baseline)
     return F.coalesce((count >= least) & (gap >= MIN_EFFECT) & (gap > led.t_interval(sd, count)), F.lit(False))
 
@@ -108,7 +108,7 @@ def governed_checkpoints(cases: DataFrame, values: Column, baseline: Column, emb
         rows = rows.withColumn("status", F.when(F.col("judged") == "ACTIVE", F.when(stays, "ACTIVE").otherwise("RETIRED")).otherwise(F.col("judged")))
         # What is active rests on all its cases; what is not keeps the figures it came with.
         live = F.col("status") == "ACTIVE"
-        rows = rows.withColumns({"effect": F.when(live, F.col("all_s") / F.col("all_n")).otherwise(F.col("effect")), "n": F.when(live, F.col("all_n")).otherwise(F.col("n")), "active_from": F.when(live, F.coalesce(F.when(F.col("before") == "ACTIVE", F.col("active_from")), now))})
+        rows = rows.withColumns({"effect": F.when(live, F.col("all_s") / F.nullif(F.col("all_n"), F.lit(0))).otherwise(F.col("effect")), "n": F.when(live, F.col("all_n")).otherwise(F.col("n")), "active_from": F.when(live, F.coalesce(F.when(F.col("before") == "ACTIVE", F.col("active_from")), now))})
         changed = F.col("confirmed") | (F.col("judged") != F.col("applied")) | (F.col("judged") == "ACTIVE")
         seen_now = Observation()
         rows = rows.select(now.alias("checkpoint"), *KEYS, "n_keys", "confirmed", "before", "applied", "judged", "status", "effect", "n", "created", "shadow_from", "active_from", "new_n", "all_n")

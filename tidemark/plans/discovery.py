@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.operators import asof, discovery as dis, technical
+from tidemark.operators import asof, discovery as dis, ladder, technical
 from tidemark.operators import ledger as led
 from tidemark.plans import knowledge, market, study
 from tidemark.plans.market import Query, take
@@ -19,6 +19,7 @@ HORIZON = 5
 #: Setups are searched among bullish states: prices here are noise about a mean, so pooled with bearish ones they cancel.
 BEARISH = ("DOWN", "NEGATIVE", "BREAKOUT_DOWN", "OVEREXTENDED_LOW", "PULLBACK_IN_DOWNTREND", "UNDERPERFORMING", "BEARISH_STACK", "LOWER_HIGHS_LOWER_LOWS", "GAP_DOWN", "BELOW_VWAP_PROXY", "NEAR_SUPPORT", "LOWER_RANGE", "FALLING")
 DIMS = {"regime": ("NORMAL",), **{d: (*skip, *BEARISH) for d, skip in technical.DEFAULT_VALUES.items()}}
+BOUNDARY = "1999-01-01"
 CONTEXTS = ("regime", "prior_return_bucket", "vol_bucket")
 
 
@@ -51,6 +52,11 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dis.research_tree(stored(stated_cases(spark, sf_dir), "stated"), technical.DEFAULT_VALUES, CONTEXTS, F.lit(0.0))
 
 
+def climbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of the ledger's contexts, judged before BOUNDARY and, where they pay, from then on."""
+    return ladder.evidence_ladder(stored(study.listed(study.resolved_ledger(spark, sf_dir)), "listed"), study.KEYS, F.lit(BOUNDARY).cast("timestamp"))
+
+
 def _of_note(table: str, dims: dict, keys: str) -> str:
     """Rows (keys, dimension, value) of what is no default."""
     skip = " or ".join(f"(dimension = '{d}' and value in ({', '.join(repr(v) for v in ('UNKNOWN', *vs))}))" for d, vs in dims.items())
@@ -93,6 +99,37 @@ def _ladder() -> str:
     return f"select condition, arity, b as train_baseline, 2 * abs(b) as invalidation_pct, {', '.join(parts)}, {cleared}, case when {reached} then 'TEST_VALIDATED' else 'REJECTED' end as status from esc_c c {joins}, esc_base"
 
 
+_LKEYS = ", ".join(study.KEYS)
+_HALF = "(" + " + ".join([repr(led.Z), *(f"{term!r} / pow(n - 1, {i})" for i, term in enumerate(led.QUANTILE, 1))]) + ") * sd / sqrt(n)"
+
+
+def _money(of: str, prefix: str) -> str:
+    return f"""select {_LKEYS}, n as {prefix}_n, mean as {prefix}_expectancy, case when n >= 2 then mean - {_HALF} end as {prefix}_low, case when lost > 0 then coalesce(won, 0) / lost end as {prefix}_profit_factor from (
+      select {_LKEYS}, count(net) as n, avg(net) as mean, stddev_samp(net) as sd, sum(net) filter (net > 0) as won, -sum(net) filter (net <= 0) as lost from {of} group by all)"""
+
+
+def _ladders() -> dict[str, str]:
+    early = f"select * from listed where published_at < timestamp '{BOUNDARY}' and realized is not null"
+    out = {"lad_e": early, "lad_t": f"select {_LKEYS}, {_STATS} from lad_e group by all"} | _tests("lad_t", "0.0", "INSUFFICIENT_N")
+    out["lad_h"] = f"select {_LKEYS}, (avg(realized) filter (rn <= m // 2) > 0) = (avg(realized) filter (rn > m // 2) > 0) as stable from (select *, row_number() over (partition by {_LKEYS} order by published_at, event_id) as rn, count(*) over (partition by {_LKEYS}) as m from lad_e) group by all"
+    out["lad_1"] = "select *, sign(mean_effect) as side from lad_t_p"
+    out["lad_m"] = f"select {_LKEYS}, side * realized - 0.001 as net from lad_e join lad_1 using ({_LKEYS}) where side <> 0"
+    out["lad_v"] = _money("lad_m", "validate")
+    pays = "coalesce({0}_n >= 15 and {0}_expectancy > 0 and {0}_low > 0{1}, false)"
+    ok = ["status = 'CONFIRMED'", "coalesce(stable, false)", pays.format("validate", " and coalesce(validate_profit_factor > 1, true)")]
+    out["lad_f"] = f"""select *, case when {ok[0]} and {ok[1]} and {ok[2]} then 'ECONOMICALLY_SUPPORTED' when {ok[0]} and {ok[1]} then 'SHADOW' when {ok[0]} then 'STATISTICALLY_SUPPORTED' else 'DISCOVERED' end as state,
+      case when not {ok[0]} then 'significance: ' || status when not {ok[1]} then 'temporal stability' when not {ok[2]} then case when coalesce(validate_n, 0) < 15 then 'too few trades before the boundary' else 'economics before the boundary' end end as why
+      from lad_1 join lad_h using ({_LKEYS}) left join lad_v using ({_LKEYS})"""
+    out["lad_l"] = f"select {_LKEYS}, side * realized - 0.001 as net from listed join lad_f using ({_LKEYS}) where state = 'ECONOMICALLY_SUPPORTED' and published_at >= timestamp '{BOUNDARY}' and realized is not null"
+    out["lad_x"] = _money("lad_l", "test")
+    test = pays.format("test", "")
+    out["lad_q"] = f"""select *, case when state = 'ECONOMICALLY_SUPPORTED' and {test} then 'TEST_VALIDATED' else state end as reached_state,
+      case when state = 'ECONOMICALLY_SUPPORTED' and not {test} then case when coalesce(test_n, 0) < 15 then 'too few trades from the boundary on' else 'economics from the boundary on' end else why end as rejection_reason from lad_f left join lad_x using ({_LKEYS})"""
+    out["lad_s"] = f"select s as reached_state, (select count(*) from lad_q where reached_state = s) as n from (select unnest({list(ladder.STATES)}) as s)"
+    return out
+
+
+_LADDER = _ladders()
 TABLES = knowledge.TABLES | {
     "esc_obs": f"""select *, case when rn <= floor(m * 0.4) then 'TRAIN' when rn <= floor(m * 0.4) + floor(m * 0.3) then 'VALIDATE' when rn <= floor(m * 0.4) + floor(m * 0.3) + floor(m * 0.15) then 'SHADOW' else 'TEST' end as segment
       from (select *, row_number() over (order by as_of, id) as rn, count(*) over () as m from (select o.entity || '|' || epoch(o.as_of)::bigint as id, o.as_of, o.realized, {', '.join(f's.{d}' for d in technical.DEFAULT_VALUES)},
@@ -123,6 +160,7 @@ TABLES = knowledge.TABLES | {
     "tree_three": f"""select * from (select *, row_number() over (partition by {_G}, dimension, value, context order by n_all desc, context_value) as k from (select {_G}, dimension, value, context, context_value, count(*) as n_all, count(realized) filter (published_at < last_at) as prior_n,
       avg(realized) filter (published_at < last_at) as prior_mean, stddev_samp(realized) filter (published_at < last_at) as prior_sd from (select *, max(published_at) over (partition by {_G}, dimension, value, context, context_value) as last_at from tree_deep) group by all)) where k <= 1""",
 } | _tests("tree_three", "0.0", "REJECTED_INSUFFICIENT_N") | {
+    **_LADDER,
     "tree_q": f"""select {_G}, 1 as level, dimension, null as value, null as context, null as context_value, n, mean_effect, ci_low, ci_high, p, p_holm, status from tree_one_h
       union all select {_G}, 2, dimension, value, null, null, n, mean_effect, ci_low, ci_high, p, null, status from tree_two_p
       union all select {_G}, 3, dimension, value, context, context_value, n, mean_effect, ci_low, ci_high, p, null, status from tree_three_p""",
@@ -134,6 +172,8 @@ def query(name: str, make: Query, columns: str, table: str) -> None:
     ORACLE_SQL[name] = pick(table, columns, TABLES)
 
 
+query("evidence_ladder", climbing, f"{' '.join(study.KEYS)} n ~mean_effect ~p validate_n ~validate_expectancy ~validate_low ~validate_profit_factor test_n ~test_expectancy ~test_low reached_state rejection_reason", "lad_q")
+query("evidence_states", lambda s, d: ladder.state_counts(climbing(s, d)), "reached_state n", "lad_s")
 query("setup_escalation", escalated, "condition arity ~train_baseline ~invalidation_pct " + " ".join(f"{s.lower()}_n ~{s.lower()}_effect ~{s.lower()}_p {s.lower()}_status" for s in dis.SEGMENTS) + " cleared status", "esc_q")
 query("research_tree", tree, "event_type direction horizon_days level dimension value context context_value n ~mean_effect ~ci_low ~ci_high ~p ~p_holm status", "tree_q")
 
