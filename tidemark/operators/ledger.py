@@ -169,6 +169,18 @@ def portfolio_metrics(trades: DataFrame, keys: Sequence[str], order: Sequence[st
     return out.withColumn("sharpe_annualized", F.col("sharpe_per_trade") * year).withColumn("sortino_annualized", F.col("sortino_per_trade") * year).drop("sd", "dd")
 
 
+def mode_report(rows: DataFrame, keys: Sequence[str] = ("mode", "horizon_days"), order: Sequence[str] = ("published_at", "event_id")) -> DataFrame:
+    """Accuracy and portfolio figures of resolved predictions per mode and horizon. Predictions without an impact are
+    counted as excluded and are no trades; modes with fewer than two trades have no portfolio figures."""
+    money = portfolio_metrics(rows.where("predicted_impact is not null"), keys, order)
+    parts = ["n_trades", "expected_value", "total_return_after_costs", "max_drawdown", "sharpe_per_trade", "sortino_per_trade"]
+    other = money.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *parts)
+    accuracy, match = accuracy_metrics(rows, keys), F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & accuracy[k].eqNullSafe(other[f"__k{i}"])
+    return accuracy.join(other, match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def chrono_rank(rows: DataFrame, time_col: str, key: str) -> DataFrame:
     """rows with rn (from 1, by time and key) and total. Counts per day come first; days are then summed in one small
     window, and rows ranked within their day, so no task holds all rows."""
