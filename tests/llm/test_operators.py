@@ -442,10 +442,10 @@ def test_media(spark, tmp_path):
 def test_oracle(spark, name):
     got = q.QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(q.ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    rows = lambda d: sorted(map(tuple, d[cols].astype(str).values.tolist()))
+    rows = lambda d: sorted(map(tuple, d[cols].round(9).astype(str).values.tolist()))
     assert rows(got) == rows(want)
