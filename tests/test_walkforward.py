@@ -123,3 +123,10 @@ def test_static_walk(spark):
     assert all(r["resolve_at"] - r["published_at"] == dt.timedelta(days=r["horizon_days"] + 2) for r in walked)
     got = {(r["segment"], r["horizon_days"]): r for r in walk.scores(walk.walkforward_static(outcomes)).collect()}
     assert got["FINAL_HOLDOUT", 1]["direction_accuracy"] == 1.0 and got["DEVELOPMENT", 60]["n"] == 63
+
+
+def test_ranks_of_predictions_that_vary_when_computed_anew(spark):
+    varied = F.udf(lambda x: x * (1 + random.random() * 1e-9), "double").asNondeterministic()
+    rows = spark.range(60).select(F.lit("STATIC").alias("agent"), F.lit("DEVELOPMENT").alias("segment"), F.lit(1).alias("horizon_days"), (F.col("id") / 100 - 0.3).alias("realized"), varied((F.col("id") + 1).cast("double")).alias("predicted_impact"))
+    scored = walk.scores(rows.withColumns({"predicted_confidence": F.lit("MEDIUM"), "outcome_status": F.lit("OK")})).first()
+    assert scored["n"] == 60 and abs(scored["spearman"] - 1) < 1e-9
