@@ -34,3 +34,14 @@ def test_pairs_are_those_of_all_pairs(spark):
     assert got.keys() == want.keys() and len(got) > 20
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert similar_texts(df.limit(0), "id", "text", 0.5)[0].count() == 0
+
+
+def test_pairs_that_share_a_few_rare_terms_are_not_worked_out(spark):
+    """Every two texts share one rare term; vectors are joined only for the pairs that may be near."""
+    own = {i: [f"own{i}x{j}" for j in range(12)] for i in range(30)}
+    texts = {i: " ".join(own[i] + [f"pair{min(i, j)}z{max(i, j)}" for j in range(30) if j != i]) for i in range(30)} | {100: " ".join(own[3] + own[3] + ["other"]), 101: " ".join(own[3] + own[3])}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pairs, _ = similar_texts(df, "id", "text", 0.7)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(100, 101)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "sofar" in plan
