@@ -45,3 +45,9 @@ def test_real_events_before_outcomes(spark):
     want = sorted(map(str, each.groupBy(*ledger.REAL_EVENT).agg(F.min("event_id").alias("event_id")).where("horizon_days = 5").select(*keys).collect()))
     assert sorted(map(str, market.real_events(events).select(*keys).collect())) == want
     assert sorted(map(str, ledger.dedupe_real_event(each).where("horizon_days = 5").select(*keys).collect())) == want
+
+
+def test_lines_are_aggregated_once(spark):
+    """The cases read bars and benchmark that are written; lines were read again for the baseline, outcomes and contexts."""
+    cases = market.full_ledger(spark, "/root/testdata/sf0.001")
+    assert not [f for f in cases.inputFiles() if "lineitem" in f]

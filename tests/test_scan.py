@@ -57,6 +57,12 @@ def test_known_before(spark):
     assert {r["prior_sd"] for r in scan.known_before(df, df, ["k"], "at", "v").where("id in (902, 903)").collect()} == {0.0}
 
 
+def test_known_before_broadcasts_nothing(spark):
+    rows = spark.range(40).selectExpr("id", "id % 3 as k", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 9 as int)) as at", "rand(1) as v")
+    plan = scan.known_before(rows, rows, ["k"], "at", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_wide_holm_is_holm(spark):
     rows = [(i, "f" if i % 3 else "g", None if i % 11 == 0 else (i * 37 % 101) / 101) for i in range(250)] + [(300, "h", 0.01), (301, "h", 0.02), (302, "h", 0.03), (303, "h", 0.2)]
     df = spark.createDataFrame(rows, "id long, family string, p double")

@@ -39,6 +39,16 @@ def test_most_keys_then_support_win(spark):
     assert got == {1: (0.1, "HIGH", "validated_relationship"), 2: (0.02, "MEDIUM", "unconditional_baseline")}
 
 
+def test_relationships_are_broadcast_not_cases(spark):
+    """Also where Spark takes the cases for the smaller table."""
+    listed = spark.range(9).selectExpr("id as event_id", "timestamp'2024-03-01' as published_at", "'a' as event_type", "'up' as direction", "5 as horizon_days", "if(id < 4, 'x=1', 'y=1') as condition", "1 as n_keys")
+    known = spark.createDataFrame([("a", "up", 5, "x=1", 1, 0.1, dt.datetime(2024, 1, 1))], "event_type string, direction string, horizon_days int, condition string, n_keys int, effect_estimate double, active_from timestamp")
+    found = hyp.applicable(listed, known)
+    assert sorted(r.event_id for r in found.collect()) == [0, 1, 2, 3]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 @pytest.mark.parametrize("action,realized,mfe,mae", [("LONG", -0.05, 0.15, -0.10), ("SHORT", 0.05, 0.10, -0.15)])
 def test_trade_outcome(spark, action, realized, mfe, mae):
     bars = spark.createDataFrame([("E", day(i), *p) for i, p in enumerate([(100.0, 101.0, 99.0, 100.0), (100.0, 115.0, 100.0, 110.0), (110.0, 111.0, 90.0, 95.0)])], "entity string, ts timestamp, open double, high double, low double, close double")

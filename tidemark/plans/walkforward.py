@@ -31,9 +31,10 @@ def learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     events = stored(walk.walk_segments(views.market_events(spark, sf_dir)), "events")
     # Burn-in outcomes give baselines, all of them; of what is scored, one event per real event is looked up.
     real = market.real_events(events.where("segment <> 'BURN_IN'"))
-    rows = stored(market.ledger_of(spark, sf_dir, events.where("segment = 'BURN_IN'").unionByName(real)), "walk")
+    bars, bench = market.series(spark, sf_dir)
+    rows = stored(market.ledger_of(events.where("segment = 'BURN_IN'").unionByName(real), bars, bench), "walk")
     walked = stored(walk.walkforward_static(rows), "walked")
-    context = market.context_of(spark, sf_dir, real).select("event_id", *hyp.CONTEXT)
+    context = market.context_of(real, bars, bench).select("event_id", *hyp.CONTEXT)
     cases = stored(led.outcome_known(walked).join(context, "event_id"), "cases")
     return walk.governed_checkpoints(cases, hyp.known_values(hyp.CONTEXT), walk.burn_in_baseline(rows)), walked, study.listed(cases)
 
