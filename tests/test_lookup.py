@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark import views
 from tidemark.operators import asof, ledger
 from tidemark.plans import market
 
@@ -51,3 +52,9 @@ def test_lines_are_aggregated_once(spark):
     """The cases read bars and benchmark that are written; lines were read again for the baseline, outcomes and contexts."""
     cases = market.full_ledger(spark, "/root/testdata/sf0.001")
     assert not [f for f in cases.inputFiles() if "lineitem" in f]
+
+
+def test_prices_are_made_after_lines_met_parts(spark):
+    plan = views.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner")
+    assert "AS price" in above and "AS price" not in below
