@@ -1,12 +1,15 @@
 """Conditions, trades, magnitudes, figures, sources and streams on small rows worked out by hand."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import fundamentals as fun, hypotheses as hyp, research, strategy
+from tidemark.plans import study
 from tidemark.sources import filings
 from tidemark.streaming import items
 
@@ -32,6 +35,27 @@ def test_prior_statistics_leave_out_the_same_time(spark):
     assert got == [(1.0, 0, None), (3.0, 1, 1.0), (5.0, 1, 1.0), (9.0, 3, 3.0)]
 
 
+def test_last_errors_are_those_of_each_case(spark, monkeypatch):
+    """What is picked and known is as from the statistics of every listed case; conditions are made once a context."""
+    draw = random.Random(11)
+    rows = [(i, "A", "t", draw.choice(["up", None]), 5, day(draw.randrange(200)), draw.random() - 0.5, draw.random() < 0.3, *(draw.choice(["a", "b", None]) for _ in hyp.CONTEXT)) for i in range(300)]
+    cases = spark.createDataFrame(rows, "event_id int, entity string, event_type string, direction string, horizon_days int, published_at timestamp, realized double, may_learn boolean, regime string, prior_return_bucket string, vol_bucket string").cache()
+    keys = [*hyp.GROUP, "condition"]
+    quarter = F.date_trunc("quarter", "published_at")
+    plain = hyp.prior_statistics(hyp.conditions(cases, hyp.known_values(hyp.CONTEXT), pool=3)).where("may_learn")
+    latest = Window.partitionBy(*keys, quarter).orderBy(F.col("published_at").desc(), F.col("event_id").desc())
+    plain = plain.withColumn("k", F.row_number().over(latest)).where("k = 1").drop("k")
+    want = {(r.event_id, r.condition): r for r in plain.collect()}
+    listed, make = [], hyp.conditions
+    monkeypatch.setattr(hyp, "conditions", lambda rows, *rest, **more: listed.append(rows.count()) or make(rows, *rest, **more))
+    got = {(r.event_id, r.condition): r for r in study.checkpoints(cases).collect()}
+    assert got.keys() == want.keys() and max(listed) <= 27
+    for k, r in want.items():
+        assert {c: got[k][c] for c in (*keys, "entity", "n_keys", "published_at", "prior_n")} == {c: r[c] for c in (*keys, "entity", "n_keys", "published_at", "prior_n")}
+        assert (got[k].prior_mean, got[k].prior_sd) == (pytest.approx(r.prior_mean, abs=1e-9), pytest.approx(r.prior_sd, abs=1e-9))
+    assert study.checkpoints(cases.limit(0)).count() == 0
+
+
 def test_most_keys_then_support_win(spark):
     cases = spark.createDataFrame([(1, 5, 0.02, "MEDIUM"), (2, 5, 0.02, "MEDIUM")], "event_id int, horizon_days int, predicted_impact double, predicted_confidence string")
     found = spark.createDataFrame([(1, 5, "a", 1, 0.5, 90), (1, 5, "a&b", 2, 0.1, 60), (1, 5, "a&c", 2, 0.2, 20)], "event_id int, horizon_days int, condition string, n_keys int, effect_estimate double, n_supporting int")
