@@ -1,9 +1,11 @@
 """Append-only tables: batches run twice, second outcomes, null keys, repeats."""
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
+from tidemark.shared import write
 from tidemark.sources import ledger_store as store
 
 PREDICTIONS = "event_id string, horizon_days int, predicted_impact double"
@@ -44,3 +46,30 @@ def test_outcomes_are_facts(spark):
     assert got == {"a": (0.4, True), "b": (0.2, True)}
     none = store.ledger(predictions, held.drop(store.KEY).where(F.lit(False)), NATURAL, ["realized"])
     assert {r["outcome_locked"] for r in none.collect()} == {False}
+
+
+def test_no_table_is_broadcast(spark):
+    """Keys are many and their files small, which Spark takes for a table to send through the driver."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    predictions = spark.createDataFrame([("a", 1, 0.1), ("b", 1, 0.1)], PREDICTIONS)
+    outcomes = spark.createDataFrame([("a", 1, 0.5, 20), ("x", 1, 0.1, 5)], OUTCOMES)
+    refused = store.record_outcomes(outcomes, predictions, f"{base}/outcomes", NATURAL, "o1")
+    known = store.ledger(predictions, outcomes, NATURAL, ["realized"])
+    for df in (refused, known):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {b.toString() for b in [blocks.getAllBlocks().apply(i) for i in range(blocks.getAllBlocks().size())] if "shuffle" in b.toString()}
+    earlier = held()
+    write(spark.range(1000).repartition(4, "id"), f"{folder}/rows")
+    until = time.time() + 20  # files are deleted a little later
+    while held() - earlier and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - earlier and spark.conf.get(key, None) == before and spark.read.parquet(f"{folder}/rows").count() == 1000

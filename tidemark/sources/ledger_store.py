@@ -9,17 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEY, BATCH = "row_key", "batch"
+from tidemark.shared import write
+
+KEY, BATCH, _OF = "row_key", "batch", "__of"
+
+
+def _parts(natural: Sequence[str]) -> Column:
+    """What row_key is the hash of. Rows are met by this, as it is the same key and mostly far shorter."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in natural])
 
 
 def keyed(rows: DataFrame, natural: Sequence[str]) -> DataFrame:
     """rows with row_key, a hash of the natural key; a null part is a value of its own."""
-    parts = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in natural])
-    return rows.withColumn(KEY, F.sha2(parts.cast("binary"), 256))
+    return rows.withColumn(KEY, F.sha2(_parts(natural).cast("binary"), 256))
 
 
 def read(spark, path: str, schema: T.StructType) -> DataFrame:
@@ -37,33 +43,35 @@ def append(rows: DataFrame, path: str, natural: Sequence[str], batch: str, first
     all columns. Returns the refused ones: those of other batches' keys, and repeats of a key that differ. Running a batch
     again gives the same table."""
     spark, columns = rows.sparkSession, rows.columns
-    new = keyed(rows, natural)
-    held = read(spark, path, new.schema).where(F.col(BATCH) != batch).select(KEY)
-    order = F.struct(*first, *sorted(columns))
-    one = new.groupBy(KEY).agg(F.min_by(F.struct(*columns), order).alias("__row"))
-    fresh = one.join(held, KEY, "left_anti").select("__row.*", KEY)
-    fresh.select(*columns, KEY).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
-    kept = spark.read.schema(new.schema).parquet(f"{path}/{BATCH}={batch}")
-    match = new[KEY] == kept[KEY]
+    schema = keyed(rows, natural).schema
+    held = read(spark, path, schema).where(F.col(BATCH) != batch).select(_parts(natural).alias(_OF))
+    order = F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate(first)], *sorted(columns))
+    one = rows.groupBy(_parts(natural).alias(_OF)).agg(F.min(order).alias("__row"))
+    # Tables of any length: their files are small beside their rows, so Spark would broadcast them through the driver.
+    fresh = one.join(held.hint("merge"), _OF, "left_anti").select(*[F.col("__row")[c].alias(c) for c in columns])
+    write(keyed(fresh, natural), f"{path}/{BATCH}={batch}", "overwrite")
+    kept = spark.read.schema(schema).parquet(f"{path}/{BATCH}={batch}").select(_parts(natural).alias(_OF), F.struct(*columns).alias("__kept")).hint("merge")
+    same = F.lit(True)
     for c in columns:
-        match = match & new[c].eqNullSafe(kept[c])
-    return new.join(kept, match, "left_anti").select(*columns)
+        same = same & F.col(c).eqNullSafe(F.col("__kept")[c])
+    met = rows.withColumn(_OF, _parts(natural)).join(kept, _OF, "left")
+    return met.where(F.col("__kept").isNull() | ~same).select(*columns)
 
 
 def record_outcomes(outcomes: DataFrame, predictions: DataFrame, path: str, natural: Sequence[str], batch: str, observed: str = "observed_at") -> DataFrame:
     """Appends outcomes of logged predictions, each key once and for good. Returns what is refused, with `reason`:
     NO_PREDICTION for a key that was never logged, SECOND_OUTCOME for one that has its outcome already, in this batch from
     an earlier time or in another batch."""
-    known = keyed(predictions, natural).select(KEY).distinct()
-    marked = keyed(outcomes, natural)
-    logged = marked.join(known, KEY, "left_semi").drop(KEY)
-    strangers = marked.join(known, KEY, "left_anti").drop(KEY)
+    known = predictions.select(_parts(natural).alias(_OF)).hint("merge")
+    marked = outcomes.withColumn(_OF, _parts(natural))
+    logged = marked.join(known, _OF, "left_semi").drop(_OF)
+    strangers = marked.join(known, _OF, "left_anti").drop(_OF)
     second = append(logged, path, natural, batch, [observed])
     return strangers.withColumn("reason", F.lit("NO_PREDICTION")).unionByName(second.withColumn("reason", F.lit("SECOND_OUTCOME")))
 
 
 def ledger(predictions: DataFrame, outcomes: DataFrame, natural: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Logged predictions with the values of their outcomes and outcome_locked."""
-    held = keyed(outcomes, natural).select(KEY, *values, F.lit(True).alias("__held"))
-    rows = keyed(predictions.drop(KEY), natural).join(held, KEY, "left")
+    held = outcomes.select(_parts(natural).alias(_OF), *values, F.lit(True).alias("__held")).hint("merge")
+    rows = keyed(predictions.drop(KEY), natural).withColumn(_OF, _parts(natural)).join(held, _OF, "left").drop(_OF)
     return rows.withColumn("outcome_locked", F.coalesce("__held", F.lit(False))).drop("__held")
