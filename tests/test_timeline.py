@@ -68,3 +68,11 @@ def test_texts_are_read_once_and_go(spark, monkeypatch):
     monkeypatch.setattr(identity, "event_instances", lambda rows, **_: given.append(rows) or rows)
     state.clustered(state.read(spark, SF))
     assert not {"clause", "words"} & set(given[0].columns) and "__found" in given[0].columns
+
+
+def test_documents_are_joined_once_to_their_story(spark):
+    """Stories that fingerprints join are put together among titles: a text is shuffled once."""
+    rows = [(1, "al\tpha", "x", "TERTIARY", 1), (2, "al pha", "x", "SECONDARY", 2), (3, "alpha", "y", "PRIMARY", 3), (4, "other", "y", "PRIMARY", 4)]
+    found = text.dedupe_documents(spark.createDataFrame(rows, "source_id long, title string, body string, reliability string, published_at long"))
+    assert {r["source_id"]: (r["title_key"], r["duplicate_of"]) for r in found.collect()} == {1: ("alpha", 3), 2: ("al pha", 3), 3: ("alpha", None), 4: ("other", None)}
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
